@@ -29,6 +29,9 @@ def lookup_join(
     """
     if is_small(lookup, rows):
         return left.join(F.broadcast(lookup), on, "left")
+    if left.isStreaming:
+        # A micro-batch is bounded by the source's rate limit and cannot be counted in advance.
+        return left.join(lookup, on, "left")
     has_key = reduce(and_, [F.col(c).isNotNull() for c in on])
     keyed = left.where(has_key)
     counts = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))

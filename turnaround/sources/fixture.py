@@ -120,3 +120,41 @@ def requests_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts["incident_zip"] = F.when(key % 61 == 0, "abc").otherwise(F.col("incident_zip"))
     columns = [texts.get(name, F.col(name)).cast("string").alias(header) for header, name in schema.RENAMES.items()]
     return raw.select(*columns, *[F.lit(None).cast("string").alias(c) for c in schema.DROPPED])
+
+
+def requests_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring requests, some of them invalid: unknown agency or borough, hour, day or month out of range."""
+    raw = requests_raw(spark, sf_dir)
+    key, created = F.col("unique_key"), F.col("created_date")
+
+    def spoiled(n: int, wrong: object, value: Column) -> Column:
+        return F.when(key % n == 0, F.lit(wrong)).otherwise(value)
+
+    return raw.select(
+        key.alias("request_id"),
+        spoiled(37, "XYZ", F.btrim("agency")).alias("agency"),
+        "borough",
+        "problem_type",
+        "location_type",
+        F.col("open_data_channel_type").alias("channel"),
+        spoiled(41, 25, F.hour(created)).alias("hour_of_day"),
+        spoiled(43, 7, F.weekday(created)).alias("day_of_week"),
+        spoiled(47, 13, F.month(created)).alias("month"),
+    )
+
+
+def forms_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled-in forms, some with gaps; problem types cycle through the known ones, one unknown, none."""
+    raw = requests_raw(spark, sf_dir)
+    key, created = F.col("unique_key"), F.col("created_date")
+    problems = F.array(*[F.lit(p) for p in sorted(schema.PROBLEM_AGENCY)], F.lit("Other Problem"), F.lit(None))
+    days = F.array(*[F.lit(d) for d in schema.DAY_NAMES])
+    return raw.select(
+        key.alias("form_id"),
+        F.get(problems, (key % 31).cast("int")).alias("problem_type"),
+        "borough",
+        F.col("open_data_channel_type").alias("channel"),
+        F.hour(created).alias("hour"),
+        F.when(key % 53 == 0, "").otherwise(F.get(days, F.weekday(created))).alias("day"),
+        F.month(created).alias("month"),
+    )
