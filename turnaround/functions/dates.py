@@ -38,7 +38,15 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(MICROS_PER_HOUR)
+    """Hours as a fraction, counted in microseconds on zone-free clocks."""
+    span = end - start
+
+    def part(name: str) -> Column:
+        return F.extract(F.lit(name), span).cast("bigint")
+
+    seconds = ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60
+    micros = (F.extract(F.lit("SECOND"), span) * 1_000_000).cast("bigint")
+    return (seconds * 1_000_000 + micros) / F.lit(MICROS_PER_HOUR)
 
 
 def monday_day(ts: Column) -> Column:
@@ -60,7 +68,7 @@ def is_night(hour: Column) -> Column:
 
 
 def day_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    return F.to_date(ts).cast("string")
 
 
 def moment(text: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnaround import schema
 from turnaround.functions.numbers import hash_number
 from turnaround.operators.features import column_medians, impute, null_columns, numeric_columns
-from turnaround.operators.joins import lookup_join
+from turnaround.operators.joins import is_small, lookup_join
 from turnaround.sources.storage import materialize
 
 
@@ -50,12 +50,7 @@ def _smoothed(s: Column, n: Column, mean: Column, smoothing: float) -> Column:
     return (s + smoothing * mean) / (n + smoothing)
 
 
-def fit_encoding(
-    df: DataFrame, cols: list[str] | None = None, target: str = schema.TARGET, smoothing: float = schema.SMOOTHING
-) -> DataFrame:
-    """`(column, category, encoding)`; the row with null column and category holds the global mean."""
-    names = cols or list(schema.ENCODED)
-    sums = _category_sums(df, names, target, [])
+def _encoding_of(sums: DataFrame, smoothing: float) -> DataFrame:
     # One row per encoded column.
     totals = sums.groupBy("column").agg((F.sum("s") / F.sum("n")).alias("mean"))
     encoded = (
@@ -68,13 +63,19 @@ def fit_encoding(
     return encoded.unionByName(overall)
 
 
-def out_of_fold_table(df: DataFrame, cols: list[str], target: str, smoothing: float) -> DataFrame:
+def fit_encoding(
+    df: DataFrame, cols: list[str] | None = None, target: str = schema.TARGET, smoothing: float = schema.SMOOTHING
+) -> DataFrame:
+    """`(column, category, encoding)`; the row with null column and category holds the global mean."""
+    return _encoding_of(_category_sums(df, cols or list(schema.ENCODED), target, []), smoothing)
+
+
+def _out_of_fold_of(sums: DataFrame, smoothing: float) -> DataFrame:
     """`(column, category, fold, encoding)` where each fold's encoding uses the other folds only.
 
     Sums of the other folds are the total minus the fold's own, so one pass replaces one fit per
     fold. A category that the other folds lack gets their mean.
     """
-    sums = _category_sums(df, cols, target, ["fold"])
     # At most `n_folds` rows per category and per column reach these windows and this join.
     category = Window.partitionBy("column", "category")
     by_fold = sums.groupBy("column", "fold").agg(F.sum("s").alias("fs"), F.sum("n").alias("fn"))
@@ -99,17 +100,23 @@ def out_of_fold_table(df: DataFrame, cols: list[str], target: str, smoothing: fl
 
 
 def _attach(df: DataFrame, table: DataFrame, cols: list[str], extra: list[str], fallback: Column | None) -> DataFrame:
-    names = schema.ENCODED
+    small = is_small(table)
     result = df
     for c in cols:
-        name = names.get(c, f"{c}_encoded")
+        name = schema.ENCODED.get(c, f"{c}_encoded")
         lookup = table.where(F.col("column") == c).select(F.col("category").alias(c), *extra, F.col("encoding").alias(name))
-        result = lookup_join(result, lookup, [c, *extra])
+        result = lookup_join(result, lookup, [c, *extra], counted_small=small)
         if fallback is not None:
             result = result.withColumn(name, F.coalesce(name, fallback))
     return result.drop(*cols, *extra)
 
 
+def _fold_sums(train: DataFrame, cols: list[str], target: str, key: str, n_folds: int) -> DataFrame:
+    """Sums per category and fold, stored: everything an encoding needs from the training rows."""
+    folded = train.withColumn("fold", fold(F.col(key), n_folds))
+    return materialize(_category_sums(folded, cols, target, ["fold"]), "fold-sums")
+
+
 def encode_out_of_fold(
     df: DataFrame,
     cols: list[str] | None = None,
@@ -117,12 +124,13 @@ def encode_out_of_fold(
     key: str = "unique_key",
     n_folds: int = schema.FOLDS,
     smoothing: float = schema.SMOOTHING,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """Training rows with encodings that never saw the row's own fold; the raw columns are dropped."""
     names = cols or list(schema.ENCODED)
-    folded = df.withColumn("fold", fold(F.col(key), n_folds))
-    table = materialize(out_of_fold_table(folded, names, target, smoothing), "fold-encoding")
-    return _attach(folded, table, names, ["fold"], None)
+    sums = _fold_sums(df, names, target, key, n_folds) if sums is None else sums
+    table = _out_of_fold_of(sums, smoothing)
+    return _attach(df.withColumn("fold", fold(F.col(key), n_folds)), table, names, ["fold"], None)
 
 
 def global_mean(encoding: DataFrame) -> float:
@@ -144,12 +152,19 @@ def encode_split(
     cols: list[str] | None = None,
     target: str = schema.TARGET,
     key: str = "unique_key",
+    smoothing: float = schema.SMOOTHING,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Encode and impute both frames from training rows alone: `(train, evaluation, encoding)`."""
+    """Encode and impute both frames from training rows alone: `(train, evaluation, encoding)`.
+
+    The training rows are summed once; the full and the out-of-fold encodings both come from those
+    sums. Both frames are stored, model fits read them many times.
+    """
     names = cols or list(schema.ENCODED)
-    encoding = materialize(fit_encoding(train, names, target), "encoding")
-    encoded_train = encode_out_of_fold(train, names, target, key)
-    encoded_eval = apply_encoding(evaluation, encoding, names)
+    sums = _fold_sums(train, names, target, key, schema.FOLDS)
+    whole = sums.groupBy("column", "category").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    encoding = materialize(_encoding_of(whole, smoothing), "encoding")
+    encoded_train = materialize(encode_out_of_fold(train, names, target, key, sums=sums), "train")
+    encoded_eval = materialize(apply_encoding(evaluation, encoding, names), "evaluation")
     numeric = [c for c in numeric_columns(encoded_train) if c not in (key, target)]
     gaps = sorted(set(null_columns(encoded_train, numeric)) | set(null_columns(encoded_eval, numeric)))
     middle = column_medians(encoded_train, gaps)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from turnaround import schema
 from turnaround.functions.dates import is_night, is_weekend, monday_day
 from turnaround.functions.numbers import flag, to_double
-from turnaround.operators.quantiles import exact_quantiles
+from turnaround.operators.quantiles import RANGE_CELLS, exact_quantiles
 
 MAX_CATEGORIES = 2_000
 
@@ -94,14 +94,20 @@ def null_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for i, c in enumerate(columns) if row[i]]
 
 
-def column_medians(df: DataFrame, columns: list[str], cell: float = 1.0) -> dict[str, float]:
+def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact median per numeric column, one value each on the driver."""
     if not columns:
         return {}
-    renamed = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    rows = exact_quantiles(renamed, [], renamed.columns, {"m": 0.5}, cell).select("measure", "m").collect()
-    found = {r.measure: r.m for r in rows}
-    return {c: found[f"c{i}"] for i, c in enumerate(columns) if f"c{i}" in found}
+    names = {f"c{i}": c for i, c in enumerate(columns)}
+    renamed = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for n, c in names.items()])
+    edges = renamed.agg(*[fn(n).alias(f"{fn.__name__}_{n}") for n in names for fn in (F.min, F.max)]).first()
+    spans = {
+        n: (edges[f"min_{n}"], edges[f"max_{n}"] - edges[f"min_{n}"]) for n in names if edges[f"min_{n}"] is not None
+    }
+    if not spans:
+        return {}
+    found = exact_quantiles(renamed, [], list(spans), {"m": 0.5}, RANGE_CELLS, spans)
+    return {names[r.measure]: r.m for r in found.select("measure", "m").collect()}
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:

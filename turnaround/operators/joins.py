@@ -18,16 +18,22 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup_join(
-    left: DataFrame, lookup: DataFrame, on: list[str], rows: int = BROADCAST_ROWS, hot_keys: int = HOT_KEYS
+    left: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    rows: int = BROADCAST_ROWS,
+    hot_keys: int = HOT_KEYS,
+    counted_small: bool = False,
 ) -> DataFrame:
     """Left join to a table with at most one row per key.
 
     A lookup whose counted size is within `rows` is broadcast and the large side is not shuffled.
     Beyond that, the rows of the most frequent keys (`hot_keys` of them, found by a pre-aggregated
     count) meet their few lookup rows by broadcast and only the rest is shuffled, so a key that
-    holds a third of the table never ends up in one task.
+    holds a third of the table never ends up in one task. `counted_small` says that the caller has
+    already counted a table the lookup is a part of.
     """
-    if is_small(lookup, rows):
+    if counted_small or is_small(lookup, rows):
         return left.join(F.broadcast(lookup), on, "left")
     if left.isStreaming:
         # A micro-batch is bounded by the source's rate limit and cannot be counted in advance.

@@ -14,7 +14,7 @@ from turnaround.functions.numbers import finite_or_null
 from turnaround.operators.encoding import encode_split, with_split
 from turnaround.operators.evaluation import best_model, compare_models, predictions_table, regression_metrics, tidy_metrics
 from turnaround.operators.features import numeric_columns
-from turnaround.sources.storage import materialize
+from turnaround.sources.storage import materialize, new_path
 
 KEY, TARGET = "unique_key", schema.TARGET
 LINEAR, FOREST, BOOSTED = "Linear Regression", "Random Forest", "Boosted Trees"
@@ -88,6 +88,10 @@ def default_candidates() -> dict[str, Estimator]:
 
 
 def fit(estimator: Estimator, train: DataFrame, features: list[str]) -> PipelineModel:
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # Boosting cuts its lineage every few rounds where a checkpoint folder is set.
+        context.setCheckpointDir(new_path(train.sparkSession, "checkpoint"))
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     return Pipeline(stages=[assembler, estimator]).fit(train)
 
@@ -101,12 +105,11 @@ def fit_and_score(
 
 
 def prepared_split(inputs: DataFrame, train: list[str], evaluation: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Encoded train and evaluation frames, stored because fits read them many times."""
+    """Encoded train and evaluation frames of the named splits, and the encoding."""
     split = with_split(inputs, KEY)
     part_train = split.where(F.col("split").isin(train)).drop("split")
     part_eval = split.where(F.col("split").isin(evaluation)).drop("split")
-    encoded_train, encoded_eval, encoding = encode_split(part_train, part_eval)
-    return materialize(encoded_train, "train"), materialize(encoded_eval, "evaluation"), encoding
+    return encode_split(part_train, part_eval)
 
 
 def compare_candidates(inputs: DataFrame, candidates: dict[str, Estimator]) -> DataFrame:

@@ -8,14 +8,17 @@ third of the table is shared by all tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnaround.functions.numbers import round_half_up
 
+# A year of hours has 876,000 cells of this width; a cell holds 36 different seconds.
+HOUR_CELLS = (0.01,)
+# Parts of a measure's range: 10,000 cells per step, down to the precision of a double.
+RANGE_CELLS = (1e-4, 1e-8, 1e-12)
+
 
 def time_summary(
     df: DataFrame, keys: Sequence[str | Column], value: str = "resolution_hours", digits: int = 1
@@ -42,64 +45,90 @@ def exact_quantiles(
     keys: Sequence[str],
     values: Sequence[str],
     fractions: dict[str, float],
-    cell: float = 0.01,
+    cells: Sequence[float] = HOUR_CELLS,
+    spans: dict[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """Quantiles of unrounded measures: `(*keys, measure, rows, <one column per fraction>)`.
 
-    The counted values of a group are located in two steps: cells of width `cell` with their running
-    counts tell which cells hold the wanted ranks, then only those cells are put in order. No task
-    sees more than the cells of a group or the distinct values of a cell. Nulls are left out.
+    The counted values of a group are located step by step: running counts of cells of the first
+    width tell which cells hold the wanted ranks, only those are cut into cells of the next width, and
+    the values left are put in order. A task sees the cells of one group, then the cells of one cell,
+    then the distinct values of the smallest cells, never a whole group. Nulls are left out.
+
+    `cells` are widths in units of the measure; `spans` gives `(least, range)` of measures whose
+    widths are parts of their range instead.
     """
     group = [*keys, "measure"]
-    measures = F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("v")) for v in values])
     counted = (
-        df.select(*keys, F.explode(measures).alias("_m"))
-        .select(*keys, "_m.measure", "_m.v")
+        _measures(df, keys, values)
         .where(F.col("v").isNotNull())
         .groupBy(*group, "v")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("cell", F.floor(F.col("v") / cell))
-    )
-
-    by_cell = Window.partitionBy(*group).orderBy("cell")
-    sized = counted.groupBy(*group, "cell").agg(F.sum("n").alias("cell_n"))
-    ranked = sized.select(
-        *group,
-        "cell",
-        (F.sum("cell_n").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cell_n")).alias("before"),
-        F.col("cell_n"),
-        F.sum("cell_n").over(Window.partitionBy(*group)).alias("rows"),
-    )
-
-    def position(q: float) -> Column:
-        return (F.col("rows") - 1) * F.lit(float(q))
-
-    wanted = F.array(*[edge(position(q)).cast("bigint") for q in fractions.values() for edge in (F.floor, F.ceil)])
-    targets = ranked.where(
-        F.exists(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("cell_n")))
-    ).drop("cell_n")
-
-    a, b = counted.alias("a"), targets.alias("b")
-    same = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "cell"]])
-    in_cell = Window.partitionBy(*group, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = a.join(b, same).select("a.*", "b.before", "b.rows").withColumn(
-        "upto", F.col("before") + F.sum("n").over(in_cell)
     )
+    # A struct compares null group keys as equal, so plain joins and windows on it keep null groups.
+    rows = counted.withColumn("place", F.struct(*group))
+    known = []
+    for width in cells:
+        rows = _narrow(rows.withColumn("cell", F.floor(_position(spans or {}) / width)), known, fractions)
+        known = ["before", "rows"]
+    in_place = Window.partitionBy("place").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("upto", F.col("before") + F.sum("n").over(in_place))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("v")))
 
     def interpolated(q: float) -> Column:
-        low, high = at(F.floor(position(q))), at(F.ceil(position(q)))
-        part = F.max(position(q) - F.floor(position(q)))
-        return low + (high - low) * part
+        low, high = at(F.floor(_rank(q))), at(F.ceil(_rank(q)))
+        return low + (high - low) * F.max(_rank(q) - F.floor(_rank(q)))
 
-    return placed.groupBy(*group).agg(
+    return ranked.groupBy(*group).agg(
         F.max("rows").alias("rows"), *[interpolated(q).alias(name) for name, q in fractions.items()]
     )
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str, digits: int = 1, cell: float = 0.01) -> DataFrame:
+def _measures(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per row and measure: `(*keys, measure, v)`."""
+    if len(values) == 1:
+        return df.select(*keys, F.lit(values[0]).alias("measure"), F.col(values[0]).cast("double").alias("v"))
+    pairs = F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("v")) for v in values])
+    return df.select(*keys, F.explode(pairs).alias("_m")).select(*keys, "_m.measure", "_m.v")
+
+
+def _position(spans: dict[str, tuple[float, float]]) -> Column:
+    """The value, or for measures with a span its place in it from 0 to 1."""
+    v = F.col("v")
+    scaled = [
+        F.when(F.col("measure") == m, (v - F.lit(float(least))) / F.lit(float(size) or 1.0))
+        for m, (least, size) in spans.items()
+    ]
+    return F.coalesce(*scaled, v) if scaled else v
+
+
+def _rank(q: float) -> Column:
+    """Wanted rank, counted from 0; a fraction lies between two rows."""
+    return (F.col("rows") - 1) * F.lit(float(q))
+
+
+def _narrow(rows: DataFrame, known: list[str], fractions: dict[str, float]) -> DataFrame:
+    """Keep the rows whose cell holds a wanted rank; `before` becomes the count of smaller rows."""
+    running = Window.partitionBy("place").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    sized = rows.groupBy("place", "cell", *known).agg(F.sum("n").alias("cell_n"))
+    start = F.col("before") if known else F.lit(0)
+    total = F.col("rows") if known else F.sum("cell_n").over(Window.partitionBy("place"))
+    counted = sized.select(
+        F.struct("place", "cell").alias("place"),
+        (start + F.sum("cell_n").over(running) - F.col("cell_n")).alias("before"),
+        "cell_n",
+        total.alias("rows"),
+    )
+    wanted = F.array(*[edge(_rank(q)).cast("bigint") for q in fractions.values() for edge in (F.floor, F.ceil)])
+    holds = F.exists(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("cell_n")))
+    targets = counted.where(holds).drop("cell_n")
+    inner = rows.withColumn("place", F.struct("place", "cell")).drop("cell", *known)
+    return inner.join(targets, "place")
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str, digits: int = 1) -> DataFrame:
     """Rounded median and row count per group of an unrounded measure: `(*keys, median, rows)`."""
-    found = exact_quantiles(df, keys, [value], {"median": 0.5}, cell)
+    found = exact_quantiles(df, keys, [value], {"median": 0.5})
     return found.select(*keys, round_half_up(F.col("median"), digits).alias("median"), "rows")

@@ -77,7 +77,8 @@ def base(spark: SparkSession, sf_dir: str, place: bool = True) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.request_features(clean(spark, sf_dir))
+    """The feature table, stored: its columns depend on the data and models read it many times."""
+    return storage.materialize(features.request_features(clean(spark, sf_dir)), "features")
 
 
 def encoder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,25 +87,31 @@ def encoder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.with_split(logged.select("unique_key", schema.TARGET, *schema.ENCODED))
 
 
-def fitted_encoding(spark: SparkSession, sf_dir: str, *splits: str) -> DataFrame:
-    train = encoder_rows(spark, sf_dir).where(F.col("split").isin(*splits))
-    return storage.materialize(encoding.fit_encoding(train), "encoding")
+def of_splits(rows: DataFrame, *splits: str) -> DataFrame:
+    return rows.where(F.col("split").isin(*splits)).drop("split")
+
+
+def fitted(rows: DataFrame, *splits: str) -> DataFrame:
+    return storage.materialize(encoding.fit_encoding(of_splits(rows, *splits)), "encoding")
 
 
 def baseline_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out rows predicted by the encoded problem type, fitted on the other splits."""
-    table = fitted_encoding(spark, sf_dir, "train", "validation")
-    test = encoder_rows(spark, sf_dir).where(F.col("split") == "test")
-    return modelling.baseline().transform(encoding.apply_encoding(test, table))
+    rows = storage.materialize(encoder_rows(spark, sf_dir), "encoder-rows")
+    return baseline_of(rows, fitted(rows, "train", "validation"))
+
+
+def baseline_of(rows: DataFrame, table: DataFrame) -> DataFrame:
+    return modelling.baseline().transform(encoding.apply_encoding(of_splits(rows, "test"), table))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.predictions_table(baseline_scored(spark, sf_dir))
 
 
-def saved_features(spark: SparkSession, sf_dir: str) -> list[str]:
-    hot = [features.one_hot_name(c, v) for c, v in features.fit_categories(clean(spark, sf_dir))]
-    return [*schema.TIME_FEATURES, *hot, *schema.ENCODED.values()]
+def feature_names(table: DataFrame) -> list[str]:
+    """What a model is fitted on: numeric feature columns, then the encoded ones."""
+    return [*modelling.feature_columns(modelling.model_inputs(table)), *schema.ENCODED.values()]
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -386,7 +393,7 @@ def one_hot(spark, sf_dir):
 
 @query
 def request_features(spark, sf_dir):
-    return rounded(feature_table(spark, sf_dir))
+    return rounded(features.request_features(clean(spark, sf_dir)))
 
 
 @query
@@ -397,8 +404,7 @@ def impute_median(spark, sf_dir):
 
 @query
 def target_encoding_fit(spark, sf_dir):
-    rows = encoder_rows(spark, sf_dir).where(F.col("split") == "train")
-    return rounded(encoding.fit_encoding(rows))
+    return rounded(encoding.fit_encoding(of_splits(encoder_rows(spark, sf_dir), "train")))
 
 
 @query
@@ -408,15 +414,13 @@ def fold_assign(spark, sf_dir):
 
 @query
 def target_encoding_oof(spark, sf_dir):
-    rows = encoder_rows(spark, sf_dir).where(F.col("split") == "train").drop("split")
-    return rounded(encoding.encode_out_of_fold(rows))
+    return rounded(encoding.encode_out_of_fold(of_splits(encoder_rows(spark, sf_dir), "train")))
 
 
 @query
 def target_encoding_apply(spark, sf_dir):
-    table = fitted_encoding(spark, sf_dir, "train")
-    rows = encoder_rows(spark, sf_dir).where(F.col("split") == "test").drop("split")
-    return rounded(encoding.apply_encoding(rows, table))
+    rows = encoder_rows(spark, sf_dir)
+    return rounded(encoding.apply_encoding(of_splits(rows, "test"), fitted(rows, "train")))
 
 
 # --- Joins and lookups ------------------------------------------------------------------------
@@ -718,7 +722,7 @@ def fixture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table with an infinite-valued column, a text column and some missing targets."""
     key = F.col("unique_key")
-    return feature_table(spark, sf_dir).withColumns(
+    return features.request_features(clean(spark, sf_dir)).withColumns(
         {
             "load_factor": F.when(key % 53 == 0, float("inf")).when(key % 59 == 0, float("-inf")).when(key % 61 == 0, float("nan")).otherwise(F.col("hour_of_day") * 1.5),
             "note": F.lit("text"),
@@ -745,7 +749,9 @@ def split_sizes(spark, sf_dir):
 @query
 def encode_split(spark, sf_dir):
     keep = ["unique_key", schema.TARGET, *schema.ENCODED, "load_factor"]
-    inputs = encoding.with_split(modelling.model_inputs(dirty_features(spark, sf_dir)).select(*keep))
+    inputs = encoding.with_split(
+        storage.materialize(modelling.model_inputs(dirty_features(spark, sf_dir)).select(*keep), "inputs")
+    )
     train, test, _ = encoding.encode_split(
         inputs.where("split = 'train'").drop("split"), inputs.where("split = 'test'").drop("split")
     )
@@ -853,17 +859,19 @@ def score_missing(spark, sf_dir):
 @query
 def score_prepare(spark, sf_dir):
     valid, _ = scoring.split_valid(fixture.requests_to_score(spark, sf_dir))
-    table = fitted_encoding(spark, sf_dir, "train")
-    names = saved_features(spark, sf_dir)
+    stored = feature_table(spark, sf_dir)
+    table, names = fitted(encoding.with_split(stored), "train"), feature_names(stored)
     return rounded(scoring.prepare_requests(valid, table, names).select("request_id", *[f"`{c}`" for c in names]))
 
 
 def deployed(spark: SparkSession, sf_dir: str) -> tuple:
     """Baseline model, its encoding, the saved feature list and its test error in hours."""
-    metrics = baseline_metrics(spark, sf_dir)
+    stored = feature_table(spark, sf_dir)
+    rows = encoding.with_split(stored.select("unique_key", schema.TARGET, *schema.ENCODED))
+    table = fitted(rows, "train", "validation")
+    metrics = rounded(evaluation.regression_metrics(baseline_of(rows, table)))
     tidy = evaluation.tidy_metrics(metrics, "deployed", "Baseline")
-    table = fitted_encoding(spark, sf_dir, "train", "validation")
-    return modelling.baseline(), table, saved_features(spark, sf_dir), evaluation.error_band(tidy)
+    return modelling.baseline(), table, feature_names(stored), evaluation.error_band(tidy)
 
 
 @query

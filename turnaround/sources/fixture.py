@@ -70,7 +70,7 @@ def requests_raw(spark: SparkSession, sf_dir: str, place: bool = True) -> DataFr
     rules = {
         "unique_key": F.col("event_id"),
         "created_date": F.when(~_every(101), F.col("ts")),
-        "closed_date": F.when(~_every(97), F.timestamp_add("MICROSECOND", micros, F.col("ts"))),
+        "closed_date": F.when(~_every(97), F.col("ts") + F.make_dt_interval(secs=micros / F.lit(1_000_000).cast("decimal(10,0)"))),
         "agency": F.concat(F.lit(" "), F.lower("office")),
         "agency_name": F.col("event_type"),
         "problem_type": problem,
@@ -79,7 +79,7 @@ def requests_raw(spark: SparkSession, sf_dir: str, place: bool = True) -> DataFr
         "incident_zip": F.when(~_every(29), F.concat((F.col("user_id") + 1000).cast("string"), F.lit(".0"))),
         "city": F.when(~_every(37), F.col("n_name")),
         "status": F.when(_every(17), None).when(_every(7), "In Progress").when(_every(5), "Open").otherwise(" Closed "),
-        "due_date": F.timestamp_add("DAY", F.lit(30), F.col("ts")),
+        "due_date": F.col("ts") + F.make_dt_interval(F.lit(30)),
         "council_district": (F.col("event_id") % 51 + 1).cast("smallint"),
         "police_precinct": F.concat(F.lit("Precinct "), (F.col("user_id") % 77).cast("string")),
         "bbl": F.when(~_every(47), 1000000000 + F.col("user_id")),
