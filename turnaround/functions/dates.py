@@ -5,48 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MICROS_PER_HOUR = 3.6e9
-_US_DATE = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?)?\s*$"
+# Month-first forms, on a 12-hour and on a 24-hour clock.
+_MONTH_FIRST = ("M/d/yyyy[ h:mm[:ss[.SSSSSS]] a] xxx", "M/d/yyyy[ H:mm[:ss[.SSSSSS]]] xxx")
 
 
 def parse_timestamp(text: Column) -> Column:
     """Read `01/15/2026 11:22:33 PM`, `2026-01-05 10:00:00`, ISO `T` form or a bare date.
 
-    Month-first texts are rearranged to ISO form and cast, which stays free of the session zone.
-    A text that is no valid moment becomes null.
+    Month-first texts are read as if in UTC and put on a zone-free clock by their distance from the
+    epoch, so neither the session zone nor its clock changes can shift them. A text that is no valid
+    moment becomes null.
     """
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _US_DATE, i)
-
-    hour = F.when(part(4) == "", F.lit(0)).otherwise(part(4).try_cast("int"))
-    half = F.upper(part(7))
-    # A 12-hour clock has no hour 0 or 13: such a text is no moment.
-    hour24 = (
-        F.when(half == "", hour)
-        .when(~hour.between(1, 12), F.lit(None).cast("int"))
-        .otherwise(hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    )
-    iso = F.concat(
-        part(3), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("-"), F.lpad(part(2), 2, "0"),
-        F.lit(" "), F.lpad(hour24.cast("string"), 2, "0"),
-        F.lit(":"), F.lpad(part(5), 2, "0"), F.lit(":"), F.lpad(part(6), 2, "0"),
-    )
-    return F.when(text.rlike(_US_DATE), iso.try_cast("timestamp_ntz")).otherwise(
-        F.trim(text).try_cast("timestamp_ntz")
-    )
+    in_utc = F.concat(F.trim(text), F.lit(" +00:00"))
+    instant = F.coalesce(*[F.try_to_timestamp(in_utc, F.lit(form)) for form in _MONTH_FIRST])
+    month_first = moment("1970-01-01 00:00:00") + F.expr("INTERVAL '0.000001' SECOND") * F.unix_micros(instant)
+    return F.when(text.contains("/"), month_first).otherwise(F.trim(text).try_cast("timestamp_ntz"))
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    """Hours as a fraction, counted in microseconds on zone-free clocks."""
-    span = end - start
-
-    def part(name: str) -> Column:
-        return F.extract(F.lit(name), span).cast("bigint")
-
-    seconds = ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60
-    micros = (F.extract(F.lit("SECOND"), span) * 1_000_000).cast("bigint")
-    return (seconds * 1_000_000 + micros) / F.lit(MICROS_PER_HOUR)
+    """Hours as a fraction, from the exact span in microseconds between two zone-free clocks."""
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return seconds.cast("double") / 3600
 
 
 def monday_day(ts: Column) -> Column:

@@ -33,11 +33,13 @@ def lookup_join(
     holds a third of the table never ends up in one task. `counted_small` says that the caller has
     already counted a table the lookup is a part of.
     """
+    extra = [f for f in lookup.schema.fields if f.name not in on]
+    order = left.columns + [f.name for f in extra]
     if counted_small or is_small(lookup, rows):
-        return left.join(F.broadcast(lookup), on, "left")
+        return left.join(F.broadcast(lookup), on, "left").select(*order)
     if left.isStreaming:
         # A micro-batch is bounded by the source's rate limit and cannot be counted in advance.
-        return left.join(lookup, on, "left")
+        return left.join(lookup, on, "left").select(*order)
     has_key = reduce(and_, [F.col(c).isNotNull() for c in on])
     keyed = left.where(has_key)
     counts = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
@@ -47,7 +49,5 @@ def lookup_join(
     hot_rows = marked.where("_hot").drop("_hot").join(F.broadcast(hot_lookup), on, "left")
     rest = marked.where(F.col("_hot").isNull()).drop("_hot").join(lookup, on, "left")
     # Rows without a key match nothing; shuffling them would send them all to one task.
-    extra = [f for f in lookup.schema.fields if f.name not in on]
     keyless = left.where(~has_key).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
-    order = left.columns + [f.name for f in extra]
     return hot_rows.select(*order).unionByName(rest.select(*order)).unionByName(keyless.select(*order))

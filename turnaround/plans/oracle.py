@@ -46,7 +46,7 @@ def split_of(key: str = "unique_key") -> str:
     return f"CASE WHEN {h} < 60 THEN 'train' WHEN {h} < 80 THEN 'validation' ELSE 'test' END"
 
 
-HOURS = "(epoch_us(closed_date) - epoch_us(created_date)) / 3.6e9"
+HOURS = "(epoch_us(closed_date) - epoch_us(created_date)) / 1e6 / 3600"
 _INT_TEXT = {"created_date", "closed_date", "due_date", "resolution_action_updated_date"}
 
 # One row per event; CASE rules are read top down.

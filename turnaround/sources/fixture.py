@@ -60,7 +60,7 @@ def requests_raw(spark: SparkSession, sf_dir: str, place: bool = True) -> DataFr
         .when(_every(41), F.col("value") + 800)
         .otherwise(F.col("value"))
     )
-    micros = F.round(hours * 3.6e9).cast("bigint")
+    later = F.expr("INTERVAL '1' HOUR") * hours
     problem = F.when(
         ~_every(59),
         F.when((F.col("office") == "HPD") & (F.col("k") < 40), schema.HEAT).otherwise(
@@ -70,7 +70,7 @@ def requests_raw(spark: SparkSession, sf_dir: str, place: bool = True) -> DataFr
     rules = {
         "unique_key": F.col("event_id"),
         "created_date": F.when(~_every(101), F.col("ts")),
-        "closed_date": F.when(~_every(97), F.col("ts") + F.make_dt_interval(secs=micros / F.lit(1_000_000).cast("decimal(10,0)"))),
+        "closed_date": F.when(~_every(97), F.col("ts") + later),
         "agency": F.concat(F.lit(" "), F.lower("office")),
         "agency_name": F.col("event_type"),
         "problem_type": problem,
