@@ -76,8 +76,9 @@ def time_of_day() -> Column:
 
 
 def by_hour_and_day(clean: DataFrame) -> DataFrame:
+    """Median per hour and day (0 = Sunday), in no order: it feeds the pivot."""
     keys = [F.hour("created_date").alias("hour"), sunday_day(F.col("created_date")).alias("dow")]
-    return time_summary(clean, keys).select("hour", "dow", "median_hours").orderBy("dow", "hour")
+    return time_summary(clean, keys).select("hour", "dow", "median_hours")
 
 
 def by_borough_and_agency(clean: DataFrame, agencies: list[str] = schema.MATRIX_AGENCIES) -> DataFrame:

@@ -37,16 +37,17 @@ def top_values(df: DataFrame, column: str, n: int = 15) -> DataFrame:
     return counts.orderBy(F.desc("_rows"), column).limit(n).select(column)
 
 
-def medians_by(df: DataFrame, column: str, value: str = "hours", keep: DataFrame | None = None) -> DataFrame:
+def medians_by(
+    df: DataFrame, column: str, value: str = "hours", keep: DataFrame | None = None, ordered: bool = True
+) -> DataFrame:
     """Median and count per value, shortest first; `keep` (one column) restricts the values."""
     chosen = df.where(F.col(column).isNotNull())
     if keep is not None:
         chosen = chosen.join(keep, column, "left_semi")
-    return (
-        medians(chosen, [column], value)
-        .select(F.col(column).alias("label"), F.col("median").alias("median_hours"), F.col("rows").alias("count"))
-        .orderBy("median_hours", "label")
+    found = medians(chosen, [column], value).select(
+        F.col(column).alias("label"), F.col("median").alias("median_hours"), F.col("rows").alias("count")
     )
+    return found.orderBy("median_hours", "label") if ordered else found
 
 
 def findings_by_problem(base: DataFrame, top: int = 15) -> DataFrame:
@@ -60,7 +61,6 @@ def agency_share(df: DataFrame, column: str, agency: str) -> DataFrame:
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).alias("label"))
         .agg(share(F.col("agency") == agency).alias("share"), F.count(F.lit(1)).alias("count"))
-        .orderBy("label")
     )
 
 

@@ -60,17 +60,22 @@ def linear() -> LinearRegression:
     return LinearRegression(labelCol=TARGET, regParam=0.0, solver="normal")
 
 
-def forest(trees: int = 200, depth: int = 20, min_leaf: int = 5, bins: int = 256, seed: int = 42) -> RandomForestRegressor:
+def forest(
+    trees: int = 200, depth: int = 20, min_leaf: int = 5, bins: int = 256, bootstrap: bool = True, seed: int = 42
+) -> RandomForestRegressor:
     return RandomForestRegressor(
         labelCol=TARGET, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-        featureSubsetStrategy="all", maxBins=bins, seed=seed,
+        featureSubsetStrategy="all", maxBins=bins, bootstrap=bootstrap, seed=seed,
     )
 
 
-def boosted(rounds: int = 300, depth: int = 7, step: float = 0.05, bins: int = 256, seed: int = 42) -> GBTRegressor:
+def boosted(
+    rounds: int = 300, depth: int = 7, step: float = 0.05, bins: int = 256,
+    row_share: float = 0.8, column_share: float = 0.8, seed: int = 42,
+) -> GBTRegressor:
     return GBTRegressor(
-        labelCol=TARGET, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", maxBins=bins, seed=seed,
+        labelCol=TARGET, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=row_share,
+        featureSubsetStrategy="all" if column_share == 1 else str(column_share), maxBins=bins, seed=seed,
     )
 
 

@@ -457,8 +457,8 @@ def predictions_table(spark, sf_dir):
 def borough_comparison(spark, sf_dir):
     rows = findings.with_borough(base(spark, sf_dir))
     return findings.comparison(
-        findings.medians_by(rows, "borough"),
-        findings.medians_by(findings.heat_only(rows), "borough"),
+        findings.medians_by(rows, "borough", ordered=False),
+        findings.medians_by(findings.heat_only(rows), "borough", ordered=False),
         findings.agency_share(rows, "borough", schema.HOUSING_AGENCY),
     )
 
@@ -467,8 +467,8 @@ def borough_comparison(spark, sf_dir):
 def channel_comparison(spark, sf_dir):
     rows = findings.with_channel(base(spark, sf_dir, place=False))
     return findings.comparison(
-        findings.medians_by(rows, "channel"),
-        findings.medians_by(findings.heat_only(rows), "channel"),
+        findings.medians_by(rows, "channel", ordered=False),
+        findings.medians_by(findings.heat_only(rows), "channel", ordered=False),
         findings.agency_share(rows, "channel", schema.POLICE_AGENCY),
     )
 
@@ -539,7 +539,7 @@ def dash_agency(spark, sf_dir):
 
 @query
 def dash_hour_day(spark, sf_dir):
-    return analysis.by_hour_and_day(clean(spark, sf_dir, place=False))
+    return analysis.by_hour_and_day(clean(spark, sf_dir, place=False)).orderBy("dow", "hour")
 
 
 @query
@@ -647,7 +647,7 @@ def predicted_vs_actual(spark, sf_dir):
 
 @query
 def pivot_hour_day(spark, sf_dir):
-    return reshape.pivot_hour_day(dash_hour_day(spark, sf_dir))
+    return reshape.pivot_hour_day(analysis.by_hour_and_day(clean(spark, sf_dir, place=False)))
 
 
 @query
@@ -657,7 +657,7 @@ def pivot_borough_agency(spark, sf_dir):
 
 @query
 def pivot_range(spark, sf_dir):
-    return reshape.value_range(dash_hour_day(spark, sf_dir))
+    return reshape.value_range(analysis.by_hour_and_day(clean(spark, sf_dir, place=False)))
 
 
 @query
@@ -685,8 +685,8 @@ def type_chart_rows(spark, sf_dir):
 def shared_scale(spark, sf_dir):
     rows = findings.with_borough(base(spark, sf_dir))
     return findings.shared_scale(
-        by_borough=findings.medians_by(rows, "borough"),
-        heat_by_borough=findings.medians_by(findings.heat_only(rows), "borough"),
+        by_borough=findings.medians_by(rows, "borough", ordered=False),
+        heat_by_borough=findings.medians_by(findings.heat_only(rows), "borough", ordered=False),
     )
 
 
@@ -810,6 +810,35 @@ _registered["model_forest"] = _validated(modelling.FOREST)
 _registered["model_boosted"] = _validated(modelling.BOOSTED)
 
 
+def _flag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.log_target(features.time_features(clean(spark, sf_dir, place=False)))
+    return storage.materialize(
+        encoding.with_split(rows.select("unique_key", schema.TARGET, "hour_of_day", "is_weekend", "is_night")), "flags"
+    )
+
+
+def _checkable(estimator: Callable, names: list[str]) -> Query:
+    """A candidate in a setting whose fit has a closed form, so its scores can be checked by value."""
+
+    def run(spark, sf_dir):
+        rows = _flag_rows(spark, sf_dir)
+        train, validation = of_splits(rows, "train"), of_splits(rows, "validation")
+        return rounded(modelling.fit_and_score("Candidate", estimator(), train, validation, names, "validation")[1])
+
+    return run
+
+
+# Least squares on one feature is a slope and an intercept; an unsampled tree of depth 2 on two flags
+# is the mean of each of their four combinations, and so is the first round of boosting.
+_registered["model_linear_hour"] = _checkable(modelling.linear, ["hour_of_day"])
+_registered["model_forest_flags"] = _checkable(
+    lambda: modelling.forest(trees=3, depth=2, min_leaf=1, bootstrap=False), ["is_weekend", "is_night"]
+)
+_registered["model_boosted_flags"] = _checkable(
+    lambda: modelling.boosted(rounds=1, depth=2, row_share=1.0, column_share=1.0), ["is_weekend", "is_night"]
+)
+
+
 @query
 def model_small_forest(spark, sf_dir):
     inputs = modelling.model_inputs(feature_table(spark, sf_dir))

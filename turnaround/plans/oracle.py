@@ -495,6 +495,22 @@ def _tidy(stage: str, metric: str, value: str | None = None) -> str:
     return f"SELECT '{stage}' AS stage, 'Baseline' AS model, '{metric}' AS metric, {value or metric} AS value FROM metrics"
 
 
+_flag_rows = f"flag_rows AS (SELECT unique_key, ln(1 + resolution_hours) AS y, {split_of()} AS split, {_time} FROM clean)"
+_by_slope = """scored AS (SELECT v.y, t.intercept + t.slope * v.hour_of_day AS prediction FROM flag_rows v,
+  (SELECT regr_slope(y, hour_of_day) AS slope, regr_intercept(y, hour_of_day) AS intercept FROM flag_rows WHERE split = 'train') t
+  WHERE v.split = 'validation')"""
+_by_cell = """scored AS (SELECT v.y, t.y AS prediction FROM flag_rows v JOIN (SELECT is_weekend, is_night, avg(y) AS y
+  FROM flag_rows WHERE split = 'train' GROUP BY 1, 2) t ON t.is_weekend = v.is_weekend AND t.is_night = v.is_night
+  WHERE v.split = 'validation')"""
+
+
+def _candidate(scored: str) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT 'validation' AS stage, 'Candidate' AS model, '{m}' AS metric, {m} AS value FROM metrics" for m in _METRICS
+    )
+    return with_(rows, _flag_rows, scored, _metric_row)
+
+
 def statements() -> dict[str, str]:
     """SQL per registered query; queries without an SQL form are absent."""
     return {
@@ -749,6 +765,9 @@ def statements() -> dict[str, str]:
               'deployed': {'model': 'Baseline', 'r2': r2, 'mae_hours': mae_hours}}) AS VARCHAR) AS json FROM metrics""",
             *_SCORED,
         ),
+        "model_linear_hour": _candidate(_by_slope),
+        "model_forest_flags": _candidate(_by_cell),
+        "model_boosted_flags": _candidate(_by_cell),
         "score_validate": with_("SELECT request_id, errors FROM checked", _requests, _checked),
         "score_missing": with_("SELECT form_id, missing FROM form_rows", _forms, _form_rows),
         "score_prepare": with_(

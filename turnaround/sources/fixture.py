@@ -6,8 +6,6 @@ Text is dirty on purpose: mixed case, outer blanks, float-like zips, missing and
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,109 +15,88 @@ from turnaround.operators.joins import lookup_join
 WINDOW = ("2024-01-02 00:00:00", "2024-01-29 00:00:00")
 
 
-def _choose(value: Column, options: dict) -> Column:
-    return reduce(lambda acc, kv: acc.when(value == kv[0], kv[1]), list(options.items())[1:], F.when(value == list(options)[0], list(options.values())[0]))
-
-
-def _every(n: int) -> Column:
-    return F.col("event_id") % n == 0
+_OFFICE = """CASE event_type WHEN 'error' THEN 'HPD' WHEN 'click' THEN 'NYPD' WHEN 'view' THEN 'DSNY'
+    WHEN 'signup' THEN 'DOT' WHEN 'purchase' THEN 'DEP' END"""
+
+# Column -> rule over an event and its customer's place; columns without a rule are null.
+_RULES = {
+    "unique_key": "event_id",
+    "created_date": "if(event_id % 101 = 0, NULL, ts)",
+    "closed_date": """if(event_id % 97 = 0, NULL, ts + INTERVAL '1' HOUR * CASE WHEN event_id % 89 = 0 THEN -value
+        WHEN event_id % 83 = 0 THEN value + 9000 WHEN event_id % 41 = 0 THEN value + 800 ELSE value END)""",
+    "agency": "concat(' ', lower(office))",
+    "agency_name": "event_type",
+    "problem_type": f"""CASE WHEN event_id % 59 = 0 THEN NULL WHEN office = 'HPD' AND k < 40 THEN '{schema.HEAT}'
+        ELSE concat(office, ' TYPE ', k div 20) END""",
+    "problem_detail": "if(event_id % 31 = 0, NULL, concat('Detail ', k))",
+    "location_type": "if(event_id % 19 = 0, NULL, segment)",
+    "incident_zip": "if(event_id % 29 = 0, NULL, concat(user_id + 1000, '.0'))",
+    "city": "if(event_id % 37 = 0, NULL, n_name)",
+    "status": """CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'In Progress'
+        WHEN event_id % 5 = 0 THEN 'Open' ELSE ' Closed ' END""",
+    "due_date": "ts + INTERVAL '30' DAY",
+    "council_district": "event_id % 51 + 1",
+    "police_precinct": "concat('Precinct ', user_id % 77)",
+    "bbl": "if(event_id % 47 = 0, NULL, 1000000000 + user_id)",
+    "borough": """CASE WHEN event_id % 11 = 0 THEN 'Unspecified' WHEN event_id % 13 = 0 THEN NULL
+        ELSE CASE n_regionkey WHEN 0 THEN 'BRONX' WHEN 1 THEN 'BROOKLYN' WHEN 2 THEN 'MANHATTAN'
+            WHEN 3 THEN 'QUEENS' WHEN 4 THEN 'STATEN ISLAND' END END""",
+    "x_coordinate": "if(event_id % 43 = 0, NULL, value * 100)",
+    "open_data_channel_type": """CASE WHEN event_id % 23 = 0 THEN NULL ELSE
+        CASE user_id % 4 WHEN 0 THEN 'Mobile' WHEN 1 THEN 'online' WHEN 2 THEN 'PHONE' ELSE 'OTHER' END END""",
+    "latitude": "40 + (event_id % 10000) / 10000",
+}
 
 
 def _dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "c_custkey AS user_id", "c_nationkey AS n_nationkey", "c_mktsegment AS segment"
     )
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
     return lookup_join(customer, nation, ["n_nationkey"]).drop("n_nationkey")
 
 
-def _events(spark: SparkSession, sf_dir: str, place: bool) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns(
-        {
-            "k": F.get_json_object("props", "$.k").cast("int"),
-            "office": _choose(
-                F.col("event_type"),
-                {"error": "HPD", "click": "NYPD", "view": "DSNY", "signup": "DOT", "purchase": "DEP"},
-            ),
-        }
-    )
-    if place:
-        return lookup_join(events, _dimensions(spark, sf_dir), ["user_id"])
-    nothing = F.lit(None).cast("string")
-    return events.withColumns({"segment": nothing, "n_name": nothing, "n_regionkey": F.lit(None).cast("int")})
-
-
 def requests_raw(spark: SparkSession, sf_dir: str, place: bool = True) -> DataFrame:
     """Requests with typed dates and dirty text, before standardising.
 
     `place=False` leaves out what needs the customer table (borough by region, location type, city).
     """
-    hours = (
-        F.when(_every(89), -F.col("value"))
-        .when(_every(83), F.col("value") + 9000)
-        .when(_every(41), F.col("value") + 800)
-        .otherwise(F.col("value"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "*", "CAST(get_json_object(props, '$.k') AS INT) AS k", f"{_OFFICE} AS office"
     )
-    later = F.expr("INTERVAL '1' HOUR") * hours
-    problem = F.when(
-        ~_every(59),
-        F.when((F.col("office") == "HPD") & (F.col("k") < 40), schema.HEAT).otherwise(
-            F.concat("office", F.lit(" TYPE "), F.floor(F.col("k") / 20).cast("string"))
-        ),
-    )
-    rules = {
-        "unique_key": F.col("event_id"),
-        "created_date": F.when(~_every(101), F.col("ts")),
-        "closed_date": F.when(~_every(97), F.col("ts") + later),
-        "agency": F.concat(F.lit(" "), F.lower("office")),
-        "agency_name": F.col("event_type"),
-        "problem_type": problem,
-        "problem_detail": F.when(~_every(31), F.concat(F.lit("Detail "), F.col("k").cast("string"))),
-        "location_type": F.when(~_every(19), F.col("segment")),
-        "incident_zip": F.when(~_every(29), F.concat((F.col("user_id") + 1000).cast("string"), F.lit(".0"))),
-        "city": F.when(~_every(37), F.col("n_name")),
-        "status": F.when(_every(17), None).when(_every(7), "In Progress").when(_every(5), "Open").otherwise(" Closed "),
-        "due_date": F.col("ts") + F.make_dt_interval(F.lit(30)),
-        "council_district": (F.col("event_id") % 51 + 1).cast("smallint"),
-        "police_precinct": F.concat(F.lit("Precinct "), (F.col("user_id") % 77).cast("string")),
-        "bbl": F.when(~_every(47), 1000000000 + F.col("user_id")),
-        "borough": F.when(_every(11), "Unspecified").when(
-            ~_every(13), _choose(F.col("n_regionkey"), dict(enumerate(schema.BOROUGHS)))
-        ),
-        "x_coordinate": F.when(~_every(43), F.col("value") * 100),
-        "open_data_channel_type": F.when(
-            ~_every(23), _choose(F.col("user_id") % 4, {0: "Mobile", 1: "online", 2: "PHONE", 3: "OTHER"})
-        ),
-        "latitude": (F.lit(40) + (F.col("event_id") % 10000) / 10000).cast("decimal(10,7)"),
-    }
-    return _events(spark, sf_dir, place).select(
-        *[
-            rules.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.RAW_SCHEMA.fields
-        ]
+    if place:
+        located = lookup_join(events, _dimensions(spark, sf_dir), ["user_id"])
+    else:
+        nothing = "CAST(NULL AS STRING)"
+        located = events.selectExpr("*", f"{nothing} AS segment", f"{nothing} AS n_name", "CAST(NULL AS INT) AS n_regionkey")
+    return located.selectExpr(
+        *[f"CAST({_RULES.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.RAW_SCHEMA]
     )
 
 
+def _date_text(c: str) -> str:
+    return f"""CASE unique_key % 3 WHEN 0 THEN date_format({c}, 'MM/dd/yyyy hh:mm:ss a')
+        WHEN 1 THEN date_format({c}, 'yyyy-MM-dd HH:mm:ss') ELSE date_format({c}, "yyyy-MM-dd'T'HH:mm:ss") END"""
+
+
+# Export text of columns that are not simply the value as text.
+_TEXTS = {
+    "created_date": _date_text("created_date"),
+    "closed_date": _date_text("closed_date"),
+    "due_date": _date_text("due_date"),
+    "problem_detail": "coalesce(problem_detail, 'N/A')",
+    "council_district": "if(unique_key % 43 = 0, 'NaN', concat(council_district, '.0'))",
+    "bbl": "concat(bbl, '.0')",
+    "x_coordinate": "if(unique_key % 53 = 0, 'unknown', CAST(floor(x_coordinate) AS STRING))",
+    "incident_zip": "if(unique_key % 61 = 0, 'abc', incident_zip)",
+}
+
+
 def requests_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests as the CSV export would hold them: header names, all text, NA tokens."""
-    raw = requests_raw(spark, sf_dir)
-    key = F.col("unique_key")
-
-    def date_text(c: str) -> Column:
-        return (
-            F.when(key % 3 == 0, F.date_format(c, "MM/dd/yyyy hh:mm:ss a"))
-            .when(key % 3 == 1, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
-            .otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"))
-        )
-
-    texts = {c: date_text(c) for c in ("created_date", "closed_date", "due_date")}
-    texts["problem_detail"] = F.coalesce("problem_detail", F.lit("N/A"))
-    texts["council_district"] = F.when(key % 43 == 0, "NaN").otherwise(F.concat(F.col("council_district").cast("string"), F.lit(".0")))
-    texts["bbl"] = F.concat(F.col("bbl").cast("string"), F.lit(".0"))
-    texts["x_coordinate"] = F.when(key % 53 == 0, "unknown").otherwise(F.floor("x_coordinate").cast("string"))
-    texts["incident_zip"] = F.when(key % 61 == 0, "abc").otherwise(F.col("incident_zip"))
-    columns = [texts.get(name, F.col(name)).cast("string").alias(header) for header, name in schema.RENAMES.items()]
-    return raw.select(*columns, *[F.lit(None).cast("string").alias(c) for c in schema.DROPPED])
+    kept = [f"CAST({_TEXTS.get(name, name)} AS STRING) AS `{header}`" for header, name in schema.RENAMES.items()]
+    unused = [f"CAST(NULL AS STRING) AS `{header}`" for header in schema.DROPPED]
+    return requests_raw(spark, sf_dir).selectExpr(*kept, *unused)
 
 
 def requests_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
