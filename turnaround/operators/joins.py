@@ -41,13 +41,12 @@ def lookup_join(
         # A micro-batch is bounded by the source's rate limit and cannot be counted in advance.
         return left.join(lookup, on, "left").select(*order)
     has_key = reduce(and_, [F.col(c).isNotNull() for c in on])
-    keyed = left.where(has_key)
-    counts = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = left.where(has_key).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     hot = counts.orderBy(F.desc("_rows"), *on).limit(hot_keys).select(*on, F.lit(True).alias("_hot"))
     hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
-    marked = keyed.join(F.broadcast(hot), on, "left")
-    hot_rows = marked.where("_hot").drop("_hot").join(F.broadcast(hot_lookup), on, "left")
-    rest = marked.where(F.col("_hot").isNull()).drop("_hot").join(lookup, on, "left")
-    # Rows without a key match nothing; shuffling them would send them all to one task.
-    keyless = left.where(~has_key).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
-    return hot_rows.select(*order).unionByName(rest.select(*order)).unionByName(keyless.select(*order))
+    # Rows without a key match nothing; shuffled, they would all land in one task.
+    marked = left.join(F.broadcast(hot), on, "left")
+    near = F.col("_hot").isNotNull() | ~has_key
+    by_broadcast = marked.where(near).drop("_hot").join(F.broadcast(hot_lookup), on, "left")
+    by_shuffle = marked.where(~near).drop("_hot").join(lookup, on, "left")
+    return by_broadcast.select(*order).unionByName(by_shuffle.select(*order))
