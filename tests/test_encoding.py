@@ -98,6 +98,12 @@ def test_one_hot(spark):
         features.fit_categories(df, most=3)
 
 
+def test_names_made_from_data_may_hold_dots(spark, train):
+    dotted = train.withColumn("agency_U.S. Mail", F.lit(1))
+    encoded, _, _ = encoding.encode_split(dotted, dotted)
+    assert "agency_U.S. Mail" in encoded.columns and encoded.count() == train.count()
+
+
 def test_model_inputs(spark):
     inf = float("inf")
     df = spark.createDataFrame(

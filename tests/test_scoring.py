@@ -85,6 +85,16 @@ def test_forms(spark, encoding):
     assert incomplete.first().missing == "Problem Type, Borough, Day of Week, Hour of Day"
 
 
+def test_unreadable_answers_are_reported(spark, encoding):
+    forms = spark.createDataFrame(
+        [("day", "Boilers", "BRONX", "PHONE", "9", "Someday", "1"), ("hour", "Boilers", "BRONX", "PHONE", "nine", "Monday", "1")],
+        "name string, problem_type string, borough string, channel string, hour string, day string, month string",
+    )
+    answers, incomplete = scoring.score_forms(forms, modelling.baseline(), encoding, FEATURES, 34.3)
+    assert answers.count() == 0
+    assert {r["name"]: r.missing for r in incomplete.collect()} == {"day": "Day of Week", "hour": "Hour of Day"}
+
+
 def test_stream_answers_each_request_once(spark, encoding, tmp_path, examples):
     arriving, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
     valid = examples.where(F.col("name").isin("noise", "heat"))

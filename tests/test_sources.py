@@ -71,10 +71,19 @@ def test_findings_columns_are_pruned(spark, folder):
 
 def test_folder_without_csv(spark, tmp_path):
     (tmp_path / "x.txt").write_text("a")
-    with pytest.raises(Exception):
+    with pytest.raises(FileNotFoundError):
         exports.read_export(spark, str(tmp_path))
 
 
+def test_files_are_split_only_without_broken_records(spark, folder, tmp_path_factory):
+    assert exports.has_broken_records(spark.read.text(folder))
+    flat = tmp_path_factory.mktemp("flat")
+    write_export(flat / "a.csv", [{"Unique Key": "1", "City": '"says ""hi"", there"'}, {"Unique Key": "2"}])
+    assert not exports.has_broken_records(spark.read.text(str(flat)))
+    rows = exports.read_export(spark, str(flat)).orderBy("`Unique Key`").collect()
+    assert [r.City for r in rows] == ['says "hi", there', None]
+
+
 def test_drop_ignores_absent_columns(spark):
     df = spark.createDataFrame([(1, 2)], "a int, Location int")
     assert exports.drop_columns(df).columns == ["a"]

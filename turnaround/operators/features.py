@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from turnaround import schema
 from turnaround.functions.dates import is_night, is_weekend, monday_day
 from turnaround.functions.numbers import flag, to_double
+from turnaround.operators.joins import quoted
 from turnaround.operators.quantiles import RANGE_CELLS, exact_quantiles
 
 MAX_CATEGORIES = 2_000
@@ -70,7 +71,7 @@ def one_hot(df: DataFrame, categories: list[tuple[str, str]], columns: dict[str,
     added = [
         F.coalesce(flag(F.col(c) == v), F.lit(0)).alias(one_hot_name(c, v, columns)) for c, v in categories
     ]
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], *added)
+    return df.select(*[quoted(c) for c in df.columns if c not in columns], *added)
 
 
 def request_features(clean: DataFrame, categories: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -90,7 +91,7 @@ def null_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Those of the columns that hold a null, found in one pass."""
     if not columns:
         return []
-    row = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     return [c for i, c in enumerate(columns) if row[i]]
 
 
@@ -99,7 +100,7 @@ def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     if not columns:
         return {}
     names = {f"c{i}": c for i, c in enumerate(columns)}
-    renamed = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for n, c in names.items()])
+    renamed = df.select(*[quoted(c).cast("double").alias(n) for n, c in names.items()])
     edges = renamed.agg(*[fn(n).alias(f"{fn.__name__}_{n}") for n in names for fn in (F.min, F.max)]).first()
     spans = {
         n: (edges[f"min_{n}"], edges[f"max_{n}"] - edges[f"min_{n}"]) for n in names if edges[f"min_{n}"] is not None
@@ -111,7 +112,7 @@ def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(m)) for c, m in medians.items()}) if medians else df
+    return df.withColumns({c: F.coalesce(quoted(c).cast("double"), F.lit(m)) for c, m in medians.items()}) if medians else df
 
 
 def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -167,15 +167,17 @@ def write_document(document: DataFrame, path: str) -> None:
     as_json(document, pretty=True).coalesce(1).write.mode("overwrite").text(path)
 
 
-def comparison(overall: DataFrame, alike: DataFrame, shares: DataFrame) -> DataFrame:
+def comparison(overall: DataFrame, alike: DataFrame, shares: DataFrame, slowest_first: bool = True) -> DataFrame:
     """Per label: median of all requests, median like for like and the agency's share, as texts.
 
     A label missing from a list shows null there.
     """
+    order = F.desc("all_hours") if slowest_first else F.asc("all_hours")
     return (
         overall.select("label", F.col("median_hours").alias("all_hours"))
         .join(alike.select("label", F.col("median_hours").alias("alike_hours")), "label", "left")
         .join(shares.select("label", "share"), "label", "left")
+        .orderBy(order, "label")
         .select(
             title_label(F.col("label")).alias("label"),
             format_duration(F.col("all_hours")).alias("all_requests"),

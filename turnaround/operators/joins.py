@@ -5,13 +5,18 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 1_000
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name; names made from data may hold dots or blanks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table holds at most `rows` rows; reads no more than one row beyond that per task."""
     return df.limit(rows + 1).count() <= rows
@@ -34,7 +39,7 @@ def lookup_join(
     already counted a table the lookup is a part of.
     """
     extra = [f for f in lookup.schema.fields if f.name not in on]
-    order = left.columns + [f.name for f in extra]
+    order = [quoted(c) for c in left.columns + [f.name for f in extra]]
     if counted_small or is_small(lookup, rows):
         return left.join(F.broadcast(lookup), on, "left").select(*order)
     if left.isStreaming:

@@ -14,6 +14,7 @@ from turnaround.functions.numbers import finite_or_null
 from turnaround.operators.encoding import encode_split, with_split
 from turnaround.operators.evaluation import best_model, compare_models, predictions_table, regression_metrics, tidy_metrics
 from turnaround.operators.features import numeric_columns
+from turnaround.operators.joins import quoted
 from turnaround.sources.storage import materialize, new_path
 
 KEY, TARGET = "unique_key", schema.TARGET
@@ -29,7 +30,7 @@ def model_inputs(features: DataFrame, target: str = TARGET) -> DataFrame:
     """
     columns = []
     for f in features.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = quoted(f.name)
         if f.name in (KEY, target):
             columns.append(c)
         elif f.name in schema.ENCODED:
@@ -52,7 +53,11 @@ def feature_columns(encoded: DataFrame) -> list[str]:
 def align(df: DataFrame, saved: list[str]) -> DataFrame:
     """The saved feature columns in saved order, encoded names mapped back to their raw columns."""
     raw = {encoded: name for name, encoded in schema.ENCODED.items()}
-    return df.select(*[F.col(f"`{raw.get(c, c)}`") for c in saved])
+    return df.select(*[quoted(raw.get(c, c)) for c in saved])
+
+
+# Deep trees: more nodes per pass over the data, and rows remember their node between passes.
+_DEEP = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
 def linear() -> LinearRegression:
@@ -65,7 +70,7 @@ def forest(
 ) -> RandomForestRegressor:
     return RandomForestRegressor(
         labelCol=TARGET, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-        featureSubsetStrategy="all", maxBins=bins, bootstrap=bootstrap, seed=seed,
+        featureSubsetStrategy="all", maxBins=bins, bootstrap=bootstrap, seed=seed, **_DEEP,
     )
 
 
@@ -75,7 +80,7 @@ def boosted(
 ) -> GBTRegressor:
     return GBTRegressor(
         labelCol=TARGET, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=row_share,
-        featureSubsetStrategy="all" if column_share == 1 else str(column_share), maxBins=bins, seed=seed,
+        featureSubsetStrategy="all" if column_share == 1 else str(column_share), maxBins=bins, seed=seed, **_DEEP,
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnaround import schema
 from turnaround.functions.numbers import round_half_up
-from turnaround.operators.quantiles import exact_quantiles
+from turnaround.operators.quantiles import RAW_HOUR_CELLS, exact_quantiles
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def profile_describe(df: DataFrame, value: str = "hours", digits: int = 2) -> Da
         round_half_up(F.min(v), digits).alias("min"),
         round_half_up(F.max(v), digits).alias("max"),
     ).withColumn("measure", F.lit(value))
-    quartiles = exact_quantiles(df, [], [value], {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(
+    quartiles = exact_quantiles(df, [], [value], {"p25": 0.25, "p50": 0.5, "p75": 0.75}, RAW_HOUR_CELLS).select(
         "measure", *[round_half_up(F.col(q), digits).alias(q) for q in ("p25", "p50", "p75")]
     )
     return basic.join(quartiles, "measure", "left")

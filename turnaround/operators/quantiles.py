@@ -16,6 +16,8 @@ from turnaround.functions.numbers import round_half_up
 
 # A year of hours has 876,000 cells of this width; a cell holds 36 different seconds.
 HOUR_CELLS = (0.01,)
+# Unchecked dates may lie centuries apart: 100-hour cells first.
+RAW_HOUR_CELLS = (100.0, 0.01)
 # Parts of a measure's range: 10,000 cells per step, down to the precision of a double.
 RANGE_CELLS = (1e-4, 1e-8, 1e-12)
 

@@ -12,6 +12,7 @@ from turnaround import schema
 from turnaround.functions.dates import is_night, is_weekend
 from turnaround.functions.numbers import flag, number_text, round_half_up
 from turnaround.operators.encoding import apply_encoding, global_mean
+from turnaround.operators.joins import quoted
 
 REQUEST = [f.name for f in schema.REQUEST_SCHEMA.fields]
 
@@ -57,9 +58,23 @@ def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def missing_fields(forms: DataFrame, fields: dict[str, str] = schema.FORM_FIELDS) -> DataFrame:
-    """Shown names of the empty fields in report order, joined; empty text if none."""
-    empty = [F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), name) for c, name in fields.items()]
-    return forms.withColumn("missing", F.array_join(F.array_compact(F.array(*empty)), ", "))
+    """Shown names of the fields to fill in, in report order, joined; empty text if none.
+
+    A day that is no day name and an hour or month that is no whole number count as missing.
+    """
+    readable = {"day": day_index, "hour": _whole, "month": _whole}
+
+    def empty(c: str) -> Column:
+        value = F.col(c)
+        lacking = value.isNull() | (value.cast("string") == "")
+        return lacking | readable[c](value).isNull() if c in readable else lacking
+
+    gaps = [F.when(empty(c), name) for c, name in fields.items()]
+    return forms.withColumn("missing", F.array_join(F.array_compact(F.array(*gaps)), ", "))
+
+
+def _whole(value: Column) -> Column:
+    return value.try_cast("int")
 
 
 def _request_flags(df: DataFrame) -> DataFrame:
@@ -80,8 +95,8 @@ def _one_hot_saved(features: list[str], sources: dict[str, Column]) -> dict[str,
 
 def _model_row(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     present = set(df.columns)
-    columns = [F.col(f"`{c}`") if c in present else F.lit(0).alias(c) for c in features]
-    return df.select(*keep, *[c for c, name in zip(columns, features) if name not in keep])
+    columns = [quoted(c) if c in present else F.lit(0).alias(c) for c in features]
+    return df.select(*map(quoted, keep), *[c for c, name in zip(columns, features) if name not in keep])
 
 
 def prepare_requests(requests: DataFrame, encoding: DataFrame, features: list[str]) -> DataFrame:
@@ -113,9 +128,9 @@ def prepare_forms(forms: DataFrame, encoding: DataFrame, features: list[str]) ->
     encoding, day given by name."""
     requests = lookup_agency(forms).withColumns(
         {
-            "hour_of_day": F.col("hour").cast("int"),
+            "hour_of_day": _whole(F.col("hour")),
             "day_of_week": day_index(F.col("day")),
-            "month": F.col("month").cast("int"),
+            "month": _whole(F.col("month")),
             "location_type": F.lit(None).cast("string"),
             "_problem": F.col("problem_type"),
         }

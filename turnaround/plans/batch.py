@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 
-from turnaround import schema
 from turnaround.operators import cleaning, evaluation, features, findings, modelling
 from turnaround.sources import exports, storage
 
 
-def load_raw(spark: SparkSession, csv_folder: str, table: str, multi_line: bool = True) -> DataFrame:
+def load_raw(spark: SparkSession, csv_folder: str, table: str, multi_line: bool | None = None) -> DataFrame:
     """CSV export to the raw table (full reload)."""
     storage.write_table(exports.conform_raw(exports.read_export(spark, csv_folder, multi_line)), table)
     return storage.scan_table(spark, table)

@@ -470,6 +470,7 @@ def channel_comparison(spark, sf_dir):
         findings.medians_by(rows, "channel", ordered=False),
         findings.medians_by(findings.heat_only(rows), "channel", ordered=False),
         findings.agency_share(rows, "channel", schema.POLICE_AGENCY),
+        slowest_first=False,
     )
 
 
@@ -863,7 +864,7 @@ def final_test_metrics(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     inputs = modelling.model_inputs(feature_table(spark, sf_dir))
     result = modelling.final_test(inputs, modelling.FOREST, candidates()[modelling.FOREST])
-    return modelling.feature_importance(result["model"], spark).limit(15)
+    return modelling.feature_importance(result["model"], spark).where("rank <= 15")
 
 
 @query

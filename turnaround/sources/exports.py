@@ -11,20 +11,25 @@ from turnaround.functions.dates import parse_timestamp
 from turnaround.functions.numbers import to_double, to_whole
 from turnaround.functions.text import null_if_na, standardize, zip_text
 
-_CSV_OPTIONS = {"header": True, "escape": '"', "inferSchema": False}
-
-
-def read_export(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+def read_export(spark: SparkSession, folder: str, multi_line: bool | None = None) -> DataFrame:
     """All CSV files of a folder as text columns, NA tokens as null.
 
-    Quoted line breaks need `multi_line`, which reads each file in one task; exports without them
-    should pass False so that large files are split.
+    Quoted line breaks need Spark's multi-line mode, which reads each file in one task. Left to
+    itself (`None`), the files are first scanned as lines, in parallel: only if a record runs over a
+    line end is that mode used, otherwise large files are split.
     """
-    reader = spark.read.options(**_CSV_OPTIONS).option("multiLine", multi_line)
-    raw = reader.option("pathGlobFilter", "*.csv").csv(folder)
-    if not raw.columns:
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
+    if not lines.inputFiles():
         raise FileNotFoundError(f"no CSV file in {folder}")
-    return normalize_na(raw)
+    broken = has_broken_records(lines) if multi_line is None else multi_line
+    reader = spark.read.options(header=True, escape='"', multiLine=broken, pathGlobFilter="*.csv")
+    return normalize_na(reader.csv(folder))
+
+
+def has_broken_records(lines: DataFrame) -> bool:
+    """Whether any CSV record runs over a line end: its first line then holds an odd count of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not lines.where(quotes % 2 == 1).isEmpty()
 
 
 def normalize_na(df: DataFrame) -> DataFrame:
@@ -120,7 +125,7 @@ FINDINGS_COLUMNS = {
 }
 
 
-def read_findings_export(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+def read_findings_export(spark: SparkSession, folder: str, multi_line: bool | None = None) -> DataFrame:
     """The seven columns of the findings; the CSV reader parses only those."""
     return findings_columns(read_export(spark, folder, multi_line))
 
