@@ -50,7 +50,7 @@ def test_models_beat_the_baseline(spark, planted, small, tmp_path):
         scores = {r.metric: r.value for r in tidy.collect()}
         assert scores["r2"] > base + 0.02 and scores["r2"] > 0.85
         assert set(scores) == set(evaluation.METRICS)
-    importance = modelling.feature_importance(model, spark).collect()
+    importance = modelling.feature_importance(spark, model, features).collect()
     assert importance[0].feature == "problem_type_encoded"
     assert sum(r.importance for r in importance) == pytest.approx(1.0)
     modelling.save_model(str(tmp_path), model, features, encoding)
@@ -101,8 +101,16 @@ def test_metrics_equal_definition(spark):
 
 def test_linear_model_has_no_importance(spark, planted):
     train, _, _ = modelling.prepared_split(planted, ["train"], ["test"])
-    model = modelling.fit(modelling.linear(), train, modelling.feature_columns(train))
-    assert modelling.feature_importance(model, spark).count() == 0
+    features = modelling.feature_columns(train)
+    model = modelling.fit(modelling.linear(), train, features)
+    assert modelling.feature_importance(spark, model, features).count() == 0
+
+
+def test_feature_names_may_hold_dots(spark, planted):
+    dotted = planted.withColumnRenamed("is_weekend", "agency_U.S. Mail")
+    result = modelling.final_test(dotted, "forest", modelling.forest(trees=2, depth=4, bins=32))
+    importance = modelling.feature_importance(spark, result["model"], result["features"])
+    assert importance.where("feature = 'agency_U.S. Mail' and importance > 0").count() == 1
 
 
 def test_segment_must_exist(spark, sf_dir):

@@ -102,8 +102,12 @@ def fit(estimator: Estimator, train: DataFrame, features: list[str]) -> Pipeline
     if context.getCheckpointDir() is None:
         # Boosting cuts its lineage every few rounds where a checkpoint folder is set.
         context.setCheckpointDir(new_path(train.sparkSession, "checkpoint"))
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[assembler, estimator]).fit(train)
+    # The assembler reads a dot as field access; such columns are handed over under plain names.
+    plain = {c: f"feature_{i}" for i, c in enumerate(features) if "." in c}
+    renamed = ", ".join(f"`{c}` AS {name}" for c, name in plain.items())
+    rename = [SQLTransformer(statement=f"SELECT *, {renamed} FROM __THIS__")] if plain else []
+    assembler = VectorAssembler(inputCols=[plain.get(c, c) for c in features], outputCol="features", handleInvalid="error")
+    return Pipeline(stages=[*rename, assembler, estimator]).fit(train)
 
 
 def fit_and_score(
@@ -158,15 +162,14 @@ def train_best(inputs: DataFrame, candidates: dict[str, Estimator]) -> dict:
     return {**result, "best": best, "comparison": comparison, "metrics": validation.unionByName(result["metrics"])}
 
 
-def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
+def feature_importance(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
     """Importance per feature, greatest first, with its percent. One row per feature column.
 
     A linear model has none; its table is empty.
     """
     fitted = model.stages[-1]
-    names = model.stages[0].getInputCols()
     values = fitted.featureImportances.toArray() if hasattr(fitted, "featureImportances") else []
-    rows = sorted(zip(names, map(float, values)), key=lambda r: (-r[1], r[0]))
+    rows = sorted(zip(features, map(float, values)), key=lambda r: (-r[1], r[0]))
     table = [(i, n, v, round(v * 100, 1)) for i, (n, v) in enumerate(rows, start=1)]
     return spark.createDataFrame(table, "rank int, feature string, importance double, pct double")
 

@@ -864,14 +864,14 @@ def final_test_metrics(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     inputs = modelling.model_inputs(feature_table(spark, sf_dir))
     result = modelling.final_test(inputs, modelling.FOREST, candidates()[modelling.FOREST])
-    return modelling.feature_importance(result["model"], spark).where("rank <= 15")
+    return modelling.feature_importance(spark, result["model"], result["features"]).where("rank <= 15")
 
 
 @query
 def headline_metrics(spark, sf_dir):
     inputs = modelling.model_inputs(feature_table(spark, sf_dir))
     result = modelling.final_test(inputs, modelling.FOREST, candidates()[modelling.FOREST])
-    importance = modelling.feature_importance(result["model"], spark)
+    importance = modelling.feature_importance(spark, result["model"], result["features"])
     return evaluation.headline_metrics(result["metrics"], inputs.count(), importance)
 
 
