@@ -51,6 +51,11 @@ def test_range_cells(spark):
     assert found.m == pytest.approx(np.median(values))
 
 
+def test_nan_is_no_value(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("a", 3.0), ("a", 1.0)], "g string, v double")
+    assert [(r.median, r.rows) for r in medians(df, ["g"], "v").collect()] == [(2.0, 2)]
+
+
 def test_empty_input_gives_no_group(spark):
     df = spark.createDataFrame([("a", None)], "g string, v double")
     assert medians(df, ["g"], "v").count() == 0

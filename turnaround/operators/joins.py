@@ -8,7 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+# Lookups here are a key and a few short columns: some tens of megabytes at this size.
+BROADCAST_ROWS = 500_000
 HOT_KEYS = 1_000
 
 

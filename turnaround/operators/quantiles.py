@@ -55,7 +55,7 @@ def exact_quantiles(
     The counted values of a group are located step by step: running counts of cells of the first
     width tell which cells hold the wanted ranks, only those are cut into cells of the next width, and
     the values left are put in order. A task sees the cells of one group, then the cells of one cell,
-    then the distinct values of the smallest cells, never a whole group. Nulls are left out.
+    then the distinct values of the smallest cells, never a whole group. Null and NaN are left out.
 
     `cells` are widths in units of the measure; `spans` gives `(least, range)` of measures whose
     widths are parts of their range instead.
@@ -63,7 +63,7 @@ def exact_quantiles(
     group = [*keys, "measure"]
     counted = (
         _measures(df, keys, values)
-        .where(F.col("v").isNotNull())
+        .where(F.col("v").isNotNull() & ~F.isnan("v"))
         .groupBy(*group, "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -76,9 +76,15 @@ def base(spark: SparkSession, sf_dir: str, place: bool = True) -> DataFrame:
     return findings.findings_base(short_requests(spark, sf_dir, place), **WINDOW)
 
 
+def stored_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean columns features are made of, stored: one-hot columns are known only after a first
+    read, and models read the rows many times."""
+    columns = ["unique_key", "created_date", "resolution_hours", "agency_name", *schema.ENCODED, *schema.ONE_HOT]
+    return storage.materialize(clean(spark, sf_dir).select(*columns), "clean")
+
+
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table, stored: its columns depend on the data and models read it many times."""
-    return storage.materialize(features.request_features(clean(spark, sf_dir)), "features")
+    return features.request_features(stored_clean(spark, sf_dir))
 
 
 def encoder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,13 +393,13 @@ def encoding_inputs(spark, sf_dir):
 
 @query
 def one_hot(spark, sf_dir):
-    rows = clean(spark, sf_dir).select("unique_key", "agency_name", *schema.ONE_HOT)
+    rows = stored_clean(spark, sf_dir).select("unique_key", "agency_name", *schema.ONE_HOT)
     return features.one_hot(rows, features.fit_categories(rows))
 
 
 @query
 def request_features(spark, sf_dir):
-    return rounded(features.request_features(clean(spark, sf_dir)))
+    return rounded(feature_table(spark, sf_dir))
 
 
 @query
@@ -725,9 +731,12 @@ def fixture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table with an infinite-valued column, a text column and some missing targets."""
     key = F.col("unique_key")
-    return features.request_features(clean(spark, sf_dir)).withColumns(
+    return feature_table(spark, sf_dir).withColumns(
         {
-            "load_factor": F.when(key % 53 == 0, float("inf")).when(key % 59 == 0, float("-inf")).when(key % 61 == 0, float("nan")).otherwise(F.col("hour_of_day") * 1.5),
+            "load_factor": F.when(key % 53 == 0, float("inf"))
+            .when(key % 59 == 0, float("-inf"))
+            .when(key % 61 == 0, float("nan"))
+            .otherwise(F.col("hour_of_day") * 1.5),
             "note": F.lit("text"),
             schema.TARGET: F.when(key % 67 != 0, F.col(schema.TARGET)),
         }
@@ -752,9 +761,7 @@ def split_sizes(spark, sf_dir):
 @query
 def encode_split(spark, sf_dir):
     keep = ["unique_key", schema.TARGET, *schema.ENCODED, "load_factor"]
-    inputs = encoding.with_split(
-        storage.materialize(modelling.model_inputs(dirty_features(spark, sf_dir)).select(*keep), "inputs")
-    )
+    inputs = encoding.with_split(modelling.model_inputs(dirty_features(spark, sf_dir)).select(*keep))
     train, test, _ = encoding.encode_split(
         inputs.where("split = 'train'").drop("split"), inputs.where("split = 'test'").drop("split")
     )

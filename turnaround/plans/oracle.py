@@ -47,7 +47,6 @@ def split_of(key: str = "unique_key") -> str:
 
 
 HOURS = "(epoch_us(closed_date) - epoch_us(created_date)) / 1e6 / 3600"
-_INT_TEXT = {"created_date", "closed_date", "due_date", "resolution_action_updated_date"}
 
 # One row per event; CASE rules are read top down.
 _RAW_RULES = {
@@ -459,7 +458,6 @@ _gaps = ", ".join(
 )
 _form_rows = f"form_rows AS (SELECT *, array_to_string(list_filter([{_gaps}], lambda x: x IS NOT NULL), ', ') AS missing, {_office} AS agency FROM forms)"
 
-_TABLE_ROWS = {"agency", "problem_type", "borough", "status", "location_type", "open_data_channel_type"}
 _pairs = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS rows FROM typed WHERE {c} IS NOT NULL GROUP BY {c}" for c in schema.PROFILED
 )
