@@ -852,7 +852,7 @@ _registered["model_boosted_flags"] = _checkable(
 @query
 def model_small_forest(spark, sf_dir):
     inputs = modelling.model_inputs(feature_table(spark, sf_dir))
-    return modelling.final_test(inputs, modelling.SMALL_FOREST, modelling.small_forest(depth=6))["metrics"]
+    return modelling.final_test(inputs, modelling.SMALL_FOREST, modelling.small_forest())["metrics"]
 
 
 @query
