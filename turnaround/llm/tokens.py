@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ def pre_tokens(text: str) -> list[str]:
     return [u[1:] for u in _UNIT.findall(" " + text)]
 
 
-class Counter_:
+class TokenCounter:
     """Lengths of pre-tokens in tokens: the broadcast table first, then a bounded cache."""
 
     def __init__(self, path: str, table: dict[str, int]):
@@ -100,12 +101,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     like any other; an empty table gives an empty result; columns besides `doc_id` and `text` are not
     read. No pre-token is shuffled: texts are counted where they are read.
     """
-    table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
+    table, mark = docs.sparkSession.sparkContext.broadcast(frequent(docs, path)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _loaded.get("table") != (path, table.id if hasattr(table, "id") else id(table)):
-            _loaded["counter"] = Counter_(path, table.value)
-            _loaded["table"] = (path, table.id if hasattr(table, "id") else id(table))
+        if _loaded.get("table") != mark:  # a worker keeps its cache from task to task
+            _loaded["counter"], _loaded["table"] = TokenCounter(path, table.value), mark
         counter = _loaded["counter"]
         for batch in batches:
             texts = batch.column("text").to_pylist()
