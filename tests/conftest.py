@@ -10,9 +10,10 @@ from turnaround.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions=4, spark__default__parallelism=4, spark__driver__memory="4g"
+        "tests", "local[8]", spark__sql__shuffle__partitions=4, spark__default__parallelism=4, spark__driver__memory="4g",
+        spark__checkpoint__dir=tmp_path_factory.mktemp("shared"),
     )
     yield session
     session.stop()
