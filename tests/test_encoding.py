@@ -94,8 +94,11 @@ def test_one_hot(spark):
     assert [features.one_hot_name(*c) for c in categories] == ["agency_A", "agency_B", "borough_Q", "channel_x y"]
     rows = [r.asDict() for r in features.one_hot(df, categories).collect()]
     assert rows[0] == {"agency_name": "long name", "agency_A": 1, "agency_B": 0, "borough_Q": 0, "channel_x y": 1}
-    with pytest.raises(ValueError):
-        features.fit_categories(df, most=3)
+    fitted = features.sparse_categories(df)
+    vectors = [r.categories.toArray().tolist() for r in fitted.transform(df).collect()]
+    assert vectors == [[1, 0, 0, 1], [0, 1, 1, 0]]
+    unseen = df.selectExpr("'C' AS agency", "borough", "open_data_channel_type")
+    assert fitted.transform(unseen).first().categories.toArray().tolist() == [0, 0, 0, 1]
 
 
 def test_names_made_from_data_may_hold_dots(spark, train):

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from turnaround.operators.joins import is_small, lookup_join
+from turnaround.operators.joins import lookup_join
 
 
 def tables(spark):
@@ -17,27 +17,39 @@ def bag(df):
     return sorted(map(str, df.select("id", "k", "j", "v").collect()))
 
 
+def shuffled(spark, left, lookup):
+    """The join as it runs when the lookup is too large to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = lookup_join(left, lookup, ["k", "j"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        return bag(joined), plan, joined.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_large_lookup_gives_the_same_rows(spark):
     left, lookup = tables(spark)
     small = lookup_join(left, lookup, ["k", "j"])
-    for hot in (0, 1, 5, 1000):
-        large = lookup_join(left, lookup, ["k", "j"], rows=10, hot_keys=hot)
-        assert large.columns == small.columns
-        assert bag(large) == bag(small)
-    assert small.count() == 2000
+    rows, plan, columns = shuffled(spark, left, lookup)
+    assert rows == bag(small) and columns == small.columns == ["id", "k", "j", "v"]
+    assert "SortMergeJoin" in plan and small.count() == 2000
 
 
-def test_small_lookup_is_broadcast_without_shuffle(spark):
+def test_a_hot_key_keeps_all_its_rows(spark):
     left, lookup = tables(spark)
-    plan = lookup_join(left, lookup, ["k", "j"])._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sum("k=1," in row and "v=10" in row for row in shuffled(spark, left, lookup)[0]) == left.where("k = 1").count()
 
 
-def test_hot_keys_are_not_shuffled_to_the_lookup(spark):
+def test_rows_without_a_key_are_dealt_out(spark):
     left, lookup = tables(spark)
-    hot = lookup_join(left, lookup, ["k", "j"], rows=10, hot_keys=1)
-    assert hot.where("k = 1").count() == left.where("k = 1").count()
+    plan = shuffled(spark, left.where("k is null"), lookup)[1]
+    keys = [line for line in plan.split("\n") if "hashpartitioning" in line]
+    assert all("_place" in line for line in keys)
 
 
-def test_is_small_counts_exactly(spark):
-    assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
+def test_small_lookup_is_broadcast_without_shuffle(spark):
+    left, lookup = tables(spark)
+    plan = lookup_join(left, lookup, ["k", "j"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

@@ -62,7 +62,7 @@ def test_answers(examples, encoding):
     assert noise.summary == "Expected to resolve in under 2 hours."
     assert (heat.predicted_hours, heat.confidence_band) == (53.6, "19.3h – 87.9h")
     assert heat.summary == "Expected to resolve in 2.2 days (~54 hours)."
-    assert heat.inputs.borough == "Bronx" and found["parking"].inputs.channel == "ONLINE"
+    assert heat.inputs.borough == "Bronx" and found["parking"].inputs.channel is None
 
 
 def test_forms(spark, encoding):
@@ -108,7 +108,10 @@ def test_stream_answers_each_request_once(spark, encoding, tmp_path, examples):
     assert run() == ["heat", "noise"]
     assert run() == ["heat", "noise"]
     examples.where(F.col("name").isin("parking", "bad hour")).write.mode("append").parquet(arriving)
-    assert run() == ["heat", "noise", "parking"]
+    assert run() == ["bad hour", "heat", "noise", "parking"]
+    answers = {r["name"]: r for r in spark.read.parquet(out).collect()}
+    assert "hour_of_day must be 0 to 23" in answers["bad hour"].errors and answers["bad hour"].predicted_hours is None
+    assert answers["heat"].errors == "" and answers["heat"].predicted_hours is not None
 
 
 def test_known_agencies(spark):

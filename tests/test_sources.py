@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def folder(tmp_path):
 
 
 def test_export_to_typed_rows(spark, folder):
-    raw = exports.conform_raw(exports.read_export(spark, folder))
+    raw = exports.conform_raw(exports.read_export(spark, folder, multi_line=True))
     assert [(f.name, f.dataType) for f in raw.schema] == [(f.name, f.dataType) for f in schema.RAW_SCHEMA]
     one, two = raw.orderBy("unique_key").collect()
     assert str(one.created_date) == "2026-01-15 23:22:33"
@@ -55,14 +56,14 @@ def test_export_to_typed_rows(spark, folder):
 
 
 def test_lost_cells_are_reported(spark, folder):
-    lost = exports.conform_rejects(exports.read_export(spark, folder)).collect()
+    lost = exports.conform_rejects(exports.read_export(spark, folder, multi_line=True)).collect()
     assert {(r.unique_key, r.column_name, r.text) for r in lost} == {
         ("1", "x_coordinate", "abc"), ("2", "incident_zip", "abc"), ("2", "council_district", "70000"),
     }
 
 
 def test_findings_columns_are_pruned(spark, folder):
-    short = exports.read_findings_export(spark, folder)
+    short = exports.read_findings_export(spark, folder, multi_line=True)
     assert short.columns == list(exports.FINDINGS_COLUMNS.values())
     plan = short._jdf.queryExecution().executedPlan().toString()
     assert "Incident Zip" not in plan
@@ -75,13 +76,24 @@ def test_folder_without_csv(spark, tmp_path):
         exports.read_export(spark, str(tmp_path))
 
 
-def test_files_are_split_only_without_broken_records(spark, folder, tmp_path_factory):
-    assert exports.has_broken_records(spark.read.text(folder))
-    flat = tmp_path_factory.mktemp("flat")
-    write_export(flat / "a.csv", [{"Unique Key": "1", "City": '"says ""hi"", there"'}, {"Unique Key": "2"}])
-    assert not exports.has_broken_records(spark.read.text(str(flat)))
-    rows = exports.read_export(spark, str(flat)).orderBy("`Unique Key`").collect()
-    assert [r.City for r in rows] == ['says "hi", there', None]
+def test_broken_records_are_kept_and_reported_when_files_are_split(spark, folder):
+    rows = exports.read_export(spark, folder).collect()
+    broken = [r for r in rows if r[exports.CORRUPT]]
+    assert len(rows) == 3 and len(broken) == 2
+    assert "Broken" in broken[0][exports.CORRUPT] + broken[1][exports.CORRUPT]
+    whole = exports.read_export(spark, folder, multi_line=True).collect()
+    assert len(whole) == 2 and not any(r[exports.CORRUPT] for r in whole)
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_each_file_is_read_under_its_own_header(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text('Agency,Borough,City\nHPD,BRONX,"says ""hi"", there"\n')
+    (tmp_path / "b.csv").write_text("Borough,Agency,City\nQUEENS,NYPD,x\n")
+    (tmp_path / "c.csv").write_text("\ufeffAgency,More\nDOT,extra\n")
+    rows = {r.Agency: r for r in exports.read_export(spark, str(tmp_path), multi_line).collect()}
+    assert {a: (r.Borough, r.City, r.More) for a, r in rows.items()} == {
+        "HPD": ("BRONX", 'says "hi", there', None), "NYPD": ("QUEENS", "x", None), "DOT": (None, None, "extra"),
+    }
 
 
 def test_drop_ignores_absent_columns(spark):
@@ -131,20 +143,19 @@ def test_shared_folder_follows_the_session():
     class Session:
         """Stands in for a cluster session; only settings are read."""
 
-        def __init__(self, master, folder):
-            self.sparkContext = self
-            self.master, self.applicationId, self.folder = master, "app", folder
-            self.conf = self
+        def __init__(self, **settings):
+            self.conf = settings
 
-        def get(self, key, default=None):
-            return self.folder if key == "spark.checkpoint.dir" else default
+    named = {"spark.checkpoint.dir": "hdfs://shared/checkpoints/", "spark.sql.warehouse.dir": "hdfs://warehouse"}
+    assert storage.shared_folder(Session(**named)) == "hdfs://shared/checkpoints"
+    assert storage.shared_folder(Session(**{"spark.sql.warehouse.dir": "hdfs://warehouse"})) == "hdfs://warehouse"
 
-        def getConf(self):
-            return self
 
-    assert storage.shared_folder(Session("yarn", "hdfs://shared/checkpoints/")) == "hdfs://shared/checkpoints"
-    with pytest.raises(ValueError):
-        storage.shared_folder(Session("yarn", None))
+def test_stored_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda session: str(tmp_path / "apart"))
+    assert storage.materialize(spark.range(3), "x").count() == 3 and os.listdir(tmp_path / "apart")
+    storage.drop_stored(spark)
+    assert not os.listdir(tmp_path / "apart")
 
 
 def test_findings_document_round_trip(spark, sf_dir, tmp_path):

@@ -19,11 +19,13 @@ def apply(spark, kind, cases, fn):
         (text.format_percent, "double", {0.092: "9.2%", 0.1: "10%", 0.411: "41%", 0.005: "0.5%", 1.0: "100%", None: None}),
         (text.title_label, "string", {"HEAT/HOT WATER": "Heat/Hot Water", "STATEN ISLAND": "Staten Island", "Noise - Residential": "Noise - Residential", "A-B c": "A-B c", "STREET-SIDE\tX": "Street-Side\tX", "": "", None: None}),
         (text.zip_text, "string", {"7001.0": "07001", "10001": "10001", "1234567": "1234567", "abc": None, "": None, None: None, "0.0": "00000"}),
-        (text.standardize, "string", {" \t hpd\r\n": "HPD", "new  york": "NEW  YORK", None: None}),
+        (text.standardize, "string", {" \t hpd\r\n": "HPD", "new  york": "NEW  YORK", "Closed\u00a0": "CLOSED", "\u3000x\x0b\x85": "X", None: None}),
         (text.null_if_na, "string", {"N/A": None, "NULL": None, "nan": None, "": None, "None": None, "na": "na", "x": "x", None: None}),
-        (lambda c: numbers.round_half_up(c, 1), "double", {0.05: 0.1, 0.25: 0.3, 1.005: 1.0, 2.449999999999: 2.5, -0.05: -0.1, None: None}),
+        (lambda c: numbers.round_half_up(c, 1), "double", {0.05: 0.1, 0.25: 0.3, 1.005: 1.0, 2.449999999999: 2.4, 0.0499999999: 0.0, 1e13: 1e13, 1e40: 1e40, float('inf'): float('inf'), -0.05: -0.1, None: None}),
         (lambda c: numbers.round_half_up(c, 2), "double", {1.005: 1.01, 2.675: 2.68}),
         (lambda c: numbers.to_whole(c, "smallint"), "string", {"12.0": 12, "12.5": None, "40000": None, "x": None, "-3": -3, None: None}),
+        (numbers.to_whole, "string", {"9007199254740993": 9007199254740993, "9007199254740993.0": 9007199254740993, "1e3": 1000, "9223372036854775808": None, "7.5": None, "nan": None, "": None, None: None}),
+        (lambda c: numbers.number_text(c, 1), "double", {1e13: "10000000000000.0", 2.4999996: "2.5", float("inf"): "Infinity", None: None}),
         (numbers.finite_or_null, "double", {float("inf"): None, float("-inf"): None, 2.0: 2.0, None: None}),
         (reshape.dow_label, "int", {0: "Sun", 6: "Sat", 7: None, -1: None, None: None}),
         (scoring.day_index, "string", {"Monday": 0, "Sunday": 6, "Funday": None, None: None}),

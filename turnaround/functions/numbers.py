@@ -6,14 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+READING = "decimal(38,12)"
+
+
 def round_half_up(value: Column, digits: int) -> Column:
-    """Round half up on the decimal reading of a number, so binary noise cannot flip a tie."""
-    return F.round(value.cast("decimal(18,6)"), digits).cast("double")
+    """Round half up on the decimal reading of a number, so binary noise cannot flip a tie.
+
+    Twelve decimals are read, beyond which a double of this size holds noise. NaN, infinity and
+    numbers beyond that decimal's range are returned as they are.
+    """
+    rounded = F.round(value.try_cast(READING), digits).cast("double")
+    return F.coalesce(rounded, value.cast("double"))
 
 
 def number_text(value: Column, digits: int) -> Column:
-    """A number as text with a fixed count of digits after the point."""
-    return F.round(value.cast("decimal(18,6)"), digits).cast(f"decimal(18,{digits})").cast("string")
+    """A number as text with a fixed count of digits after the point; NaN, infinity and numbers that
+    no decimal holds as Spark writes them."""
+    text = F.round(value.try_cast(READING), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.coalesce(text, value.cast("string"))
 
 
 def to_double(value: Column) -> Column:
@@ -22,9 +32,13 @@ def to_double(value: Column) -> Column:
 
 
 def to_whole(value: Column, kind: str = "bigint") -> Column:
-    """Float text such as `12.0` to an integer type; fractions, overflow and junk become null."""
-    number = to_double(value)
-    return F.when(number == F.floor(number), number.try_cast(kind))
+    """Float text such as `12.0` to an integer type; fractions, overflow and junk become null.
+
+    Digits are read as decimals, never through a double, so large keys stay what they are.
+    """
+    exact = value.try_cast("decimal(38,10)")
+    whole = F.when(exact == F.floor(exact), exact.try_cast("decimal(28,0)"))
+    return F.coalesce(value.try_cast("bigint") if kind == "bigint" else F.lit(None).cast(kind), whole.try_cast(kind))
 
 
 def finite_or_null(value: Column) -> Column:

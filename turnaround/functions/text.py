@@ -9,7 +9,6 @@ from turnaround.functions.numbers import number_text, to_double
 from turnaround.schema import NA_TOKENS
 
 _MARK = "\u0001"
-_SPACES = " \t\r\n\f\x0b"
 
 
 def null_if_na(text: Column) -> Column:
@@ -18,7 +17,7 @@ def null_if_na(text: Column) -> Column:
 
 def standardize(text: Column) -> Column:
     """Strip white space of every kind at both ends and upper-case."""
-    return F.upper(F.btrim(text, F.lit(_SPACES)))
+    return F.upper(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def zip_text(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +14,6 @@ from turnaround.functions.numbers import flag, to_double
 from turnaround.operators.joins import quoted
 from turnaround.operators.quantiles import RANGE_CELLS, exact_quantiles
 
-MAX_CATEGORIES = 2_000
-
 
 def time_features(df: DataFrame, created: str = "created_date") -> DataFrame:
     ts = F.col(created)
@@ -48,20 +48,31 @@ def encoding_inputs(df: DataFrame, columns: list[str] | None = None) -> DataFram
     )
 
 
-def fit_categories(df: DataFrame, columns: dict[str, str] = schema.ONE_HOT, most: int = MAX_CATEGORIES) -> list[tuple[str, str]]:
+def fit_categories(df: DataFrame, columns: dict[str, str] = schema.ONE_HOT) -> list[tuple[str, str]]:
     """`(column, value)` pairs that become one-hot columns, in order of the column names to be.
 
-    One small job. The width of a table must be known on the driver, so more than `most` values is
-    an error, not a cut.
+    One small job. A wide table's columns must be known on the driver, whatever their number; where
+    values are many, `sparse_categories` gives a model one vector instead.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns])
     distinct = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
-    found = [(r.column_name, r.value) for r in distinct.limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} distinct values to one-hot encode in {list(columns)}")
+    found = [(r.column_name, r.value) for r in distinct.collect()]
     return sorted(found, key=lambda cv: one_hot_name(*cv, columns))
 
 
+def sparse_categories(df: DataFrame, columns: dict[str, str] = schema.ONE_HOT, output: str = "categories") -> PipelineModel:
+    """A fitted model that adds one sparse 0/1 vector for all values of the columns, so their number
+    never sizes a schema; unknown and null values give all 0."""
+    names = list(columns)
+    indexed, coded = [f"_{c}_index" for c in names], [f"_{c}_code" for c in names]
+    steps = [
+        StringIndexer(inputCols=names, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True),
+        VectorAssembler(inputCols=coded, outputCol=output),
+    ]
+    return Pipeline(stages=steps).fit(df)
+
+
 def one_hot_name(column: str, value: str, columns: dict[str, str] = schema.ONE_HOT) -> str:
     return f"{columns[column]}_{value}"
 

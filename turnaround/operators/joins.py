@@ -1,4 +1,4 @@
-"""Lookup joins that hold up against large lookups and hot keys."""
+"""Lookup joins that hold up against large lookups, hot keys and missing keys."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Lookups here are a key and a few short columns: some tens of megabytes at this size.
-BROADCAST_ROWS = 500_000
-HOT_KEYS = 1_000
+#: Rows without a key are spread over so many places when a join shuffles.
+PLACES = 1024
 
 
 def quoted(name: str) -> Column:
@@ -18,41 +17,18 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table holds at most `rows` rows; reads no more than one row beyond that per task."""
-    return df.limit(rows + 1).count() <= rows
+def lookup_join(left: DataFrame, lookup: DataFrame, on: list[str]) -> DataFrame:
+    """Left join to a table with at most one row per key; works on batch and streaming frames.
 
-
-def lookup_join(
-    left: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    rows: int = BROADCAST_ROWS,
-    hot_keys: int = HOT_KEYS,
-    counted_small: bool = False,
-) -> DataFrame:
-    """Left join to a table with at most one row per key.
-
-    A lookup whose counted size is within `rows` is broadcast and the large side is not shuffled.
-    Beyond that, the rows of the most frequent keys (`hot_keys` of them, found by a pre-aggregated
-    count) meet their few lookup rows by broadcast and only the rest is shuffled, so a key that
-    holds a third of the table never ends up in one task. `counted_small` says that the caller has
-    already counted a table the lookup is a part of.
+    One plain join: Spark broadcasts the lookup when its measured bytes allow it, and splits hot keys
+    of the large side where it has to shuffle. Rows without a key match nothing; they get a place of
+    their own in the join key, so that a shuffle deals them out and not all to one task.
     """
-    extra = [f for f in lookup.schema.fields if f.name not in on]
-    order = [quoted(c) for c in left.columns + [f.name for f in extra]]
-    if counted_small or is_small(lookup, rows):
-        return left.join(F.broadcast(lookup), on, "left").select(*order)
-    if left.isStreaming:
-        # A micro-batch is bounded by the source's rate limit and cannot be counted in advance.
-        return left.join(lookup, on, "left").select(*order)
-    has_key = reduce(and_, [F.col(c).isNotNull() for c in on])
-    counts = left.where(has_key).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.orderBy(F.desc("_rows"), *on).limit(hot_keys).select(*on, F.lit(True).alias("_hot"))
-    hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
-    # Rows without a key match nothing; shuffled, they would all land in one task.
-    marked = left.join(F.broadcast(hot), on, "left")
-    near = F.col("_hot").isNotNull() | ~has_key
-    by_broadcast = marked.where(near).drop("_hot").join(F.broadcast(hot_lookup), on, "left")
-    by_shuffle = marked.where(~near).drop("_hot").join(lookup, on, "left")
-    return by_broadcast.select(*order).unionByName(by_shuffle.select(*order))
+    extra = [f.name for f in lookup.schema.fields if f.name not in on]
+    order = [quoted(c) for c in [*left.columns, *extra]]
+    has_key = reduce(and_, [quoted(c).isNotNull() for c in on])
+    spread = F.pmod(F.xxhash64(*map(quoted, left.columns)), F.lit(PLACES))
+    # Always -1, but not as a literal: the optimizer would take a literal out of the join key.
+    found = F.pmod(F.xxhash64(*map(quoted, on)), F.lit(1)) - 1
+    apart = left.withColumn("_place", F.when(has_key, F.lit(-1)).otherwise(spread).cast("bigint"))
+    return apart.join(lookup.withColumn("_place", found), [*on, "_place"], "left").select(*order)

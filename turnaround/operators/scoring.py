@@ -142,7 +142,7 @@ def prepare_forms(forms: DataFrame, encoding: DataFrame, features: list[str]) ->
 
 
 def band(hours: Column, mae: float) -> tuple[Column, Column]:
-    low = F.greatest(F.lit(0.0), round_half_up(hours - mae, 1))
+    low = F.when(hours.isNotNull(), F.greatest(F.lit(0.0), round_half_up(hours - mae, 1)))
     return low, round_half_up(hours + mae, 1)
 
 
@@ -168,12 +168,12 @@ def summary(hours: Column) -> Column:
 
 def verdict(hours: Column) -> Column:
     (bound, label), *rest = schema.VERDICTS
-    start = F.when(hours < bound, label)
+    start = F.when(hours.isNull(), F.lit(None)).when(hours < bound, label)
     return reduce(lambda chain, v: chain.when(hours < v[0], v[1]), rest, start).otherwise(schema.LAST_VERDICT)
 
 
-def responses(scored: DataFrame, mae: float, inputs: list[str]) -> DataFrame:
-    """Answer columns for rows with a log-scale `prediction`; `inputs` are echoed as a struct."""
+def responses(scored: DataFrame, mae: float) -> DataFrame:
+    """Answer columns for rows with a log-scale `prediction`; `inputs` holds what was given."""
     hours = F.col("_hours")
     return scored.withColumn("_hours", F.expm1("prediction")).withColumns(
         {
@@ -182,7 +182,6 @@ def responses(scored: DataFrame, mae: float, inputs: list[str]) -> DataFrame:
             "confidence_band": band_text(hours, mae),
             "summary": summary(hours),
             "verdict": verdict(hours),
-            "inputs": F.struct(*inputs),
         }
     )
 
@@ -195,12 +194,23 @@ def score_requests(
 ) -> tuple[DataFrame, DataFrame]:
     """Answers for valid requests, and the refused ones with their reasons.
 
-    Extra columns of the requests (such as an id) are carried along.
+    Extra columns of the requests (such as an id) are carried along. `inputs` echoes the request as
+    given, before defaults.
     """
-    valid, rejected = split_valid(with_defaults(requests))
+    valid, rejected = split_valid(requests.withColumn("inputs", F.struct(*REQUEST)))
     scored = model.transform(prepare_requests(valid, encoding, features))
     extra = [c for c in requests.columns if c not in REQUEST]
-    return responses(scored, mae_hours, REQUEST).select(*extra, *ANSWER), rejected
+    return responses(scored, mae_hours).select(*extra, *ANSWER), rejected.drop("inputs")
+
+
+def answer_requests(
+    requests: DataFrame, model: PipelineModel, encoding: DataFrame, features: list[str], mae_hours: float
+) -> DataFrame:
+    """One answer per request: the answer columns, or the reasons of a refusal in `errors` (else empty)."""
+    answers, refused = score_requests(requests, model, encoding, features, mae_hours)
+    extra = [c for c in requests.columns if c not in REQUEST]
+    reasons = refused.select(*extra, "errors", F.struct(*REQUEST).alias("inputs"))
+    return answers.withColumn("errors", F.lit("")).unionByName(reasons, allowMissingColumns=True)
 
 
 def score_forms(
@@ -208,8 +218,8 @@ def score_forms(
 ) -> tuple[DataFrame, DataFrame]:
     """Answers with verdict for complete forms, and the incomplete ones with the missing fields."""
     checked = missing_fields(forms)
-    complete = checked.where(F.col("missing") == "").drop("missing")
+    complete = checked.where(F.col("missing") == "").drop("missing").withColumn("inputs", F.struct(*schema.FORM_FIELDS))
     scored = model.transform(prepare_forms(complete, encoding, features))
     extra = [c for c in forms.columns if c not in schema.FORM_FIELDS]
-    answers = responses(scored, mae_hours, list(schema.FORM_FIELDS)).select(*extra, "agency", "verdict", *ANSWER)
+    answers = responses(scored, mae_hours).select(*extra, "agency", "verdict", *ANSWER)
     return answers, checked.where(F.col("missing") != "")

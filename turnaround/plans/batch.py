@@ -9,7 +9,7 @@ from turnaround.operators import cleaning, evaluation, features, findings, model
 from turnaround.sources import exports, storage
 
 
-def load_raw(spark: SparkSession, csv_folder: str, table: str, multi_line: bool | None = None) -> DataFrame:
+def load_raw(spark: SparkSession, csv_folder: str, table: str, multi_line: bool = False) -> DataFrame:
     """CSV export to the raw table (full reload)."""
     storage.write_table(exports.conform_raw(exports.read_export(spark, csv_folder, multi_line)), table)
     return storage.scan_table(spark, table)

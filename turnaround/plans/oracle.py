@@ -9,7 +9,7 @@ from __future__ import annotations
 from turnaround import schema
 
 START, END = "2024-01-02 00:00:00", "2024-01-29 00:00:00"
-_SPACE = r"E' \t\r\n'"
+_BLANKS = r"^[\s\x0b\x85\p{Z}]+|[\s\x0b\x85\p{Z}]+$"
 
 
 def _text_list(values) -> str:
@@ -17,11 +17,15 @@ def _text_list(values) -> str:
 
 
 def r(expr: str, digits: int = 1) -> str:
-    return f"CAST(round(CAST({expr} AS DECIMAL(18,6)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
 
 
 def num(expr: str, digits: int) -> str:
-    return f"CAST(CAST(round(CAST({expr} AS DECIMAL(18,6)), {digits}) AS DECIMAL(18,{digits})) AS VARCHAR)"
+    return f"CAST(CAST(round(CAST({expr} AS DECIMAL(38,12)), {digits}) AS DECIMAL(18,{digits})) AS VARCHAR)"
+
+
+def known(expr: str, value: str = "hours") -> str:
+    return f"CASE WHEN {value} IS NOT NULL THEN {expr} END"
 
 
 def med(expr: str) -> str:
@@ -29,7 +33,7 @@ def med(expr: str) -> str:
 
 
 def std(expr: str) -> str:
-    return f"upper(trim({expr}, {_SPACE}))"
+    return f"upper(regexp_replace({expr}, '{_BLANKS}', '', 'g'))"
 
 
 def zip5(expr: str) -> str:
@@ -724,7 +728,7 @@ def statements() -> dict[str, str]:
             f"""both_lists AS (SELECT 'by_borough' AS list, label, median_hours FROM ({_lists['by_borough']})
               UNION ALL SELECT 'heat_by_borough', label, median_hours FROM ({_lists['heat_by_borough']}))""",
         ),
-        "format_duration": with_(f"SELECT unique_key, {duration('hours')} AS duration FROM timed WHERE hours > 0"),
+        "format_duration": with_(f"SELECT unique_key, {duration('hours')} AS duration FROM timed"),
         "title_label": with_(
             f"""SELECT unique_key, {title('u')} AS upper_label, {title('l')} AS label
             FROM (SELECT unique_key, {_upper_label} AS u, {_any_label} AS l FROM typed)"""
@@ -779,7 +783,7 @@ def statements() -> dict[str, str]:
         ),
         "score_requests": with_(
             f"""SELECT request_id, {r('h')} AS predicted_hours, {r('h / 24')} AS predicted_days, {band('h', _MAE)} AS confidence_band,
-            {summary('h')} AS summary, agency AS input_agency, channel AS input_channel FROM answered""",
+            {summary('h')} AS summary, agency AS input_agency, given_channel AS input_channel FROM answered""",
             *_DEPLOYED,
         ),
         "score_form": with_(
@@ -789,12 +793,13 @@ def statements() -> dict[str, str]:
             f"filled AS (SELECT f.*, exp({_encoded('enc', 'problem_type', 'f')}) - 1 AS h FROM form_rows f WHERE missing = '')",
         ),
         "score_band": with_(
-            f"SELECT unique_key, {low('hours', '34.3')} AS low, {r('hours + 34.3')} AS high, {band('hours', '34.3')} AS band FROM timed WHERE hours > 0"
+            f"SELECT unique_key, {known(low('hours', '34.3'))} AS low, {r('hours + 34.3')} AS high, {known(band('hours', '34.3'))} AS band FROM timed"
         ),
         "score_summary": with_(
-            f"SELECT unique_key, {summary('hours')} AS summary, {verdict('hours')} AS verdict, {r('hours / 24')} AS predicted_days FROM timed WHERE hours > 0"
+            f"SELECT unique_key, {known(summary('hours'))} AS summary, {known(verdict('hours'))} AS verdict, {r('hours / 24')} AS predicted_days FROM timed"
         ),
         "score_stream": with_(
-            f"SELECT request_id, {r('h')} AS predicted_hours, {band('h', _MAE)} AS confidence_band FROM answered", *_DEPLOYED
+            f"""SELECT request_id, {r('h')} AS predicted_hours, {band('h', _MAE)} AS confidence_band, '' AS errors FROM answered
+            UNION ALL SELECT request_id, NULL, NULL, errors FROM checked WHERE errors <> ''""", *_DEPLOYED
         ),
     }

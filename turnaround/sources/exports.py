@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,25 +14,46 @@ from turnaround.functions.dates import parse_timestamp
 from turnaround.functions.numbers import to_double, to_whole
 from turnaround.functions.text import null_if_na, standardize, zip_text
 
-def read_export(spark: SparkSession, folder: str, multi_line: bool | None = None) -> DataFrame:
+#: Holds the text of records that do not fit their file's header.
+CORRUPT = "_corrupt_record"
+
+
+def read_export(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
     """All CSV files of a folder as text columns, NA tokens as null.
 
-    Quoted line breaks need Spark's multi-line mode, which reads each file in one task. Left to
-    itself (`None`), the files are first scanned as lines, in parallel: only if a record runs over a
-    line end is that mode used, otherwise large files are split.
+    Files are grouped by their header line and each group is read under its own header, so files may
+    order their columns differently, lack some or have more; a column a file lacks is null.
+
+    `multi_line` says that quoted values may hold line breaks: each file is then read by one task.
+    Without it large files are split. A record that does not fit its header, such as the parts of one
+    that runs over a line end, is kept and shown whole in the column `_corrupt_record`.
     """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
-    if not lines.inputFiles():
+    groups: dict[str, list[str]] = {}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
+    for path in sorted(r.path for r in files.collect()):
+        groups.setdefault(_first_line(spark, path), []).append(path)
+    if not groups:
         raise FileNotFoundError(f"no CSV file in {folder}")
-    broken = has_broken_records(lines) if multi_line is None else multi_line
-    reader = spark.read.options(header=True, escape='"', multiLine=broken, pathGlobFilter="*.csv")
-    return normalize_na(reader.csv(folder))
-
-
-def has_broken_records(lines: DataFrame) -> bool:
-    """Whether any CSV record runs over a line end: its first line then holds an odd count of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not lines.where(quotes % 2 == 1).isEmpty()
+    read = []
+    for line, paths in groups.items():
+        names = next(csv.reader([line]), [])
+        kind = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+        options = {"header": True, "escape": '"', "multiLine": multi_line, "columnNameOfCorruptRecord": CORRUPT}
+        read.append(spark.read.options(**options).schema(kind).csv(paths))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+    return normalize_na(whole.select(*[F.col(f"`{c}`") for c in whole.columns if c != CORRUPT], CORRUPT))
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    """A file's header line, read by the driver like any other file metadata."""
+    jvm = spark._jvm
+    address = jvm.org.apache.hadoop.fs.Path(path)
+    stream = address.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(address)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        return (reader.readLine() or "").removeprefix("\ufeff")
+    finally:
+        reader.close()
 
 
 def normalize_na(df: DataFrame) -> DataFrame:
@@ -125,7 +149,7 @@ FINDINGS_COLUMNS = {
 }
 
 
-def read_findings_export(spark: SparkSession, folder: str, multi_line: bool | None = None) -> DataFrame:
+def read_findings_export(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
     """The seven columns of the findings; the CSV reader parses only those."""
     return findings_columns(read_export(spark, folder, multi_line))
 

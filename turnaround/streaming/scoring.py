@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from turnaround.operators.scoring import score_requests
+from turnaround.operators.scoring import answer_requests
 
 
 def read_requests(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -24,12 +24,13 @@ def start_scoring(
     output: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Score everything available now and append the answers to a Parquet folder.
+    """Answer everything available now and append the answers to a Parquet folder; a refused request
+    is answered with its reasons in `errors`.
 
     The checkpoint records what was answered, so a restart neither loses nor repeats a request. A
     service runs the same query with a processing-time trigger.
     """
-    answers, _ = score_requests(requests, model, encoding, features, mae_hours)
+    answers = answer_requests(requests, model, encoding, features, mae_hours)
     return (
         answers.writeStream.format("parquet")
         .option("path", output)
