@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,14 +26,22 @@ END_ID = 1
 UNIT = 8
 #: Pieces in an enumerated combination at most.
 DEPTH = 3
-CACHE_ENTRIES = 1 << 19
+#: Entries of a worker's caches: whole words, and what they are made of.
+CACHE_WORDS, CACHE_PARTS = 3 << 18, 1 << 19
+_GROUP = 128
 #: White space to Python's split() but not to the tokenizer.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
+# Letters, then ASCII marks: two pre-tokens, which the tokenizer encodes apart.
+_PARTS = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
 
 
 class Encoder:
-    """Ids of texts. Words are encoded one by one and cached, as the tokenizer never looks across
-    white space; a cached entry holds its ids as little-endian unsigned 32-bit numbers."""
+    """Ids of texts, as unsigned 32-bit numbers.
+
+    The tokenizer never looks across white space, so words are encoded one by one and cached. A new
+    word of letters with marks behind them is put together from both, which are cached as well: the
+    same letters come with many marks and, as the tokenizer folds case, in either case.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,24 +49,65 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {"": b""}
+        made, odd = [], []
+        for w in words:
+            (made if (two := _split(w)) else odd).append((w, two))
+        for at in range(0, len(odd), 4096):
+            part = [w for w, _ in odd[at : at + 4096]]
+            self.cache.update(zip(part, self._ids(part)))
+        self._learn_parts(list({p for _, two in made for p in two}.difference(self.parts)))
+        known = self.parts
+        self.cache.update((w, known[a] + known[b]) for w, (a, b) in made)
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Parts are one pre-token each, and a pre-token's last id ends a word: many are encoded as one
+        text and cut apart behind those ids."""
+        groups = [parts[i : i + _GROUP] for i in range(0, len(parts), _GROUP)]
+        for group, whole in zip(groups, self._ids([" ".join(g) for g in groups])):
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(whole, "<u4")]) * 4 + 4).tolist()
+            if len(cuts) == len(group):
+                self.parts.update(zip(group, (whole[a:b] for a, b in zip([0, *cuts], cuts))))
+            else:
+                self.parts.update(zip(group, self._ids(group)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = {i: self._ids([t])[0] for i, t in enumerate(texts) if any(c in t for c in _SEPARATORS)}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        missing = list(set().union(*split).difference(self.cache)) if split else []
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache = {}
-            missing = list(set().union(*split))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.cache.update(zip(part, self._ids(part)))
+        wanted = set().union(*split) if split else set()
+        missing = list(wanted.difference(self.cache))
+        if len(self.cache) + len(missing) > CACHE_WORDS:
+            self.cache, missing = {}, list(wanted)
+        if missing:
+            self._learn(missing)
         get = self.cache.__getitem__
         return [odd[i] if i in odd else b"".join(map(get, words)) for i, words in enumerate(split)]
 
 
+def _split(word: str) -> tuple[str, str] | None:
+    """A word as its letters, in lower case where that is safe, and the marks behind; None where
+    normalising could bring anything but letters into the first part."""
+    found = _PARTS.fullmatch(word)
+    if not found:
+        return None
+    letters = found[1]
+    if letters.isascii():
+        return letters.lower(), found[2]
+    if letters.isalpha() and letters.lower().isalpha() and unicodedata.is_normalized("NFC", letters):
+        return letters, found[2]
+    return None
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
