@@ -81,8 +81,13 @@ def test_train_job(spark, planted, small, tmp_path):
     assert ("test", result["best"]) in stages
     stored = evaluation.read_metrics(spark, f"{tmp_path}/model_metrics")
     assert {r.stage for r in stored.collect()} == {"validation", "test"}
-    merged = batch.train_small(wide, str(tmp_path), stored, modelling.small_forest(trees=5, depth=6, min_leaf=20))
+    before = stored.count()
+    merged = batch.train_small(wide, str(tmp_path), modelling.small_forest(trees=5, depth=6, min_leaf=20))
     assert evaluation.error_band(merged) > 0
+    written = evaluation.read_metrics(spark, f"{tmp_path}/model_metrics")
+    assert {r.stage for r in written.collect()} == {"validation", "test", "deployed"} and written.count() == before + 2
+    document = spark.read.json(f"{tmp_path}/model_metrics", multiLine=True).first()
+    assert document.rows == wide.count() and document.best_model == result["best"]
     predictions = spark.read.parquet(f"{tmp_path}/request_predictions")
     assert [(f.name, f.dataType) for f in predictions.schema] == [(f.name, f.dataType) for f in schema.PREDICTION_SCHEMA]
     low = predictions.agg(F.max(F.abs(F.col("error_hours") - F.col("predicted_hours") + F.col("actual_hours")))).first()[0]

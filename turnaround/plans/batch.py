@@ -39,15 +39,16 @@ def train(feature_table: DataFrame, folder: str, candidates: dict[str, Estimator
     return {**result, "metrics": metrics}
 
 
-def train_small(feature_table: DataFrame, folder: str, stored_metrics: DataFrame, estimator: Estimator | None = None) -> DataFrame:
-    """The small model for serving: fit on 80 %, stored, its test scores merged as `deployed`."""
+def train_small(feature_table: DataFrame, folder: str, estimator: Estimator | None = None) -> DataFrame:
+    """The small model for serving: fit on 80 % and stored; its test scores are merged as `deployed`
+    into the metrics document that `train` wrote beside it, and the document's tidy rows returned."""
     inputs = modelling.model_inputs(feature_table)
     result = modelling.final_test(inputs, modelling.SMALL_FOREST, estimator or modelling.small_forest())
     modelling.save_model(f"{folder}/deployed_model", result["model"], result["features"], result["encoding"])
     update = evaluation.tidy_metrics(
         evaluation.regression_metrics(result["scored"]), "deployed", modelling.SMALL_FOREST, ["r2", "mae_hours"]
     )
-    return evaluation.merge_metrics(stored_metrics, update)
+    return evaluation.update_metrics(feature_table.sparkSession, f"{folder}/model_metrics", update)
 
 
 def publish_findings(short_requests: DataFrame, path: str, **window) -> DataFrame:

@@ -191,6 +191,15 @@ def rename_columns(spark, sf_dir):
     return rename_rows(fixture.requests_export(spark, sf_dir)).select("unique_key", "problem_type", "agency", "open_data_channel_type", "latitude")
 
 
+@query
+def drop_columns(spark, sf_dir):
+    left = exports.drop_columns(fixture.requests_export(spark, sf_dir))
+    return left.select(
+        F.col("`Unique Key`").alias("unique_key"), F.col("Agency").alias("agency"), F.col("Borough").alias("borough"),
+        F.lit(len(left.columns)).alias("columns_left"),
+    )
+
+
 @query
 def scan_table(spark, sf_dir):
     return storage.scan_table(spark, f"{sf_dir}/events.parquet")
@@ -796,6 +805,18 @@ def merge_metrics(spark, sf_dir):
     return evaluation.merge_metrics(stored, evaluation.tidy_metrics(fresh, "deployed", "Baseline", names))
 
 
+@query
+def read_metrics(spark, sf_dir):
+    """A document written, updated in place and read back."""
+    fresh = baseline_metrics(spark, sf_dir)
+    old = fresh.withColumns({"r2": F.col("r2") / 2, "mae_hours": F.col("mae_hours") * 2})
+    names = ["r2", "mae_hours"]
+    tidy = evaluation.tidy_metrics(fresh, "test", "Baseline").unionByName(evaluation.tidy_metrics(old, "deployed", "Baseline", names))
+    path = storage.new_path(spark, "metrics-document")
+    findings.write_document(evaluation.metrics_document(tidy, 10, "Baseline"), path)
+    return evaluation.update_metrics(spark, path, evaluation.tidy_metrics(fresh, "deployed", "Baseline", names))
+
+
 @query
 def metrics_json(spark, sf_dir):
     fresh = baseline_metrics(spark, sf_dir)
@@ -930,6 +951,17 @@ def score_requests(spark, sf_dir):
     )
 
 
+@query
+def save_model(spark, sf_dir):
+    """The deployed model stored and loaded again, then scoring."""
+    model, table, names, mae = deployed(spark, sf_dir)
+    path = storage.new_path(spark, "model")
+    modelling.save_model(path, model, names, table)
+    loaded, features_, encoding_ = modelling.load_model(spark, path)
+    answers, _ = scoring.score_requests(fixture.requests_to_score(spark, sf_dir), loaded, encoding_, features_, mae)
+    return answers.select("request_id", "predicted_hours", "predicted_days")
+
+
 @query
 def score_form(spark, sf_dir):
     answers, _ = scoring.score_forms(fixture.forms_to_score(spark, sf_dir), *deployed(spark, sf_dir))

@@ -535,6 +535,9 @@ def statements() -> dict[str, str]:
         "rename_columns": with_(
             "SELECT CAST(unique_key AS VARCHAR) AS unique_key, problem_type, agency, open_data_channel_type, latitude FROM export", _export
         ),
+        "drop_columns": with_(
+            "SELECT CAST(unique_key AS VARCHAR) AS unique_key, agency, borough, CAST(35 AS INTEGER) AS columns_left FROM export", _export
+        ),
         "scan_table": "SELECT * FROM events",
         "run_sql": with_(
             f"""SELECT agency, {_HOUR} AS hour, count(*) AS complaints, min(resolution_hours) AS least, max(resolution_hours) AS greatest
@@ -760,6 +763,12 @@ def statements() -> dict[str, str]:
         "merge_metrics": with_(
             " UNION ALL ".join(_tidy(s, m) for s in ("test", "deployed") for m in ("r2", "mae_hours")), *_SCORED
         ),
+        "read_metrics": with_(
+            " UNION ALL ".join(
+                [_tidy("test", m) for m in ("r2", "mae_hours", "rmse_hours")] + [_tidy("deployed", m) for m in ("r2", "mae_hours")]
+            ),
+            *_SCORED,
+        ),
         "metrics_json": with_(
             """SELECT CAST(to_json({'rows': (SELECT count(*) FROM clean), 'best_model': 'Baseline',
               'validation': {'Baseline': {'r2': r2, 'mae_hours': mae_hours, 'rmse_hours': rmse_hours}},
@@ -786,6 +795,9 @@ def statements() -> dict[str, str]:
             {summary('h')} AS summary, agency AS input_agency, given_channel AS input_channel FROM answered""",
             *_DEPLOYED,
         ),
+        "save_model": with_(
+            f"SELECT request_id, {r('h')} AS predicted_hours, {r('h / 24')} AS predicted_days FROM answered", *_DEPLOYED
+        ),
         "score_form": with_(
             f"""SELECT form_id, agency, {verdict('h')} AS verdict, {r('h')} AS predicted_hours, {r('h / 24')} AS predicted_days,
             {band('h', _MAE)} AS confidence_band, {summary('h')} AS summary FROM filled""",
