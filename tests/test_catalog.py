@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
+from turnaround.operators import findings, profiling, quantiles
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
@@ -23,6 +24,25 @@ def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["findings_overall", "resolution_stats", "profile_describe", "findings_by_problem", "borough_comparison",
+     "channel_comparison", "shared_scale", "profile_top_values", "reconcile_counts", "findings_json"],
+)
+def test_one_scan_of_the_fact_table(spark, sf_dir, monkeypatch, name):
+    plans, store = [], quantiles.materialize
+
+    def recorded(df, label):
+        plans.append(df)
+        return store(df, label)
+
+    for module in (quantiles, findings, profiling):
+        monkeypatch.setattr(module, "materialize", recorded)
+    plans.append(QUERIES[name](spark, sf_dir))
+    texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert sum(t.count("events.parquet]") for t in texts) == 1
+
+
 def test_every_statement_has_a_query():
     assert set(SQL) <= set(QUERIES)
 

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from turnaround.operators import quantiles
 from turnaround.operators.features import column_medians, impute_median
-from turnaround.operators.quantiles import RANGE_CELLS, exact_quantiles, medians, time_summary
+from turnaround.operators.quantiles import POWER_CELLS, count_values, exact_quantiles, medians, time_summary
 
 FRACTIONS = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "high": 1.0}
 
@@ -20,7 +21,7 @@ def frame(spark, seed, rows=3000):
     return data, spark.createDataFrame(data, "g string, v double").repartition(5)
 
 
-@pytest.mark.parametrize("cells", [(0.01,), (1.0,), (100.0, 1.0, 0.01), (1e9,)])
+@pytest.mark.parametrize("cells", [(0.01,), (1.0,), (100.0, 1.0, 0.01), (1e9,), POWER_CELLS])
 def test_equals_numpy(spark, cells):
     data, df = frame(spark, 1)
     found = {r.g: r for r in exact_quantiles(df, ["g"], ["v"], FRACTIONS, cells).collect()}
@@ -42,13 +43,34 @@ def test_two_measures_and_no_keys(spark):
     assert found["w"].m == pytest.approx(np.median([-2 * v for v in values]))
 
 
-def test_range_cells(spark):
+def test_outliers_do_not_gather_the_rest_in_one_cell(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    values = [float(x) for x in rng.lognormal(0, 6, 2001)] + [1e15, -1e15]
+    values = [float(x) for x in rng.random(20001)] + [1e15, -1e15, 1e308, -1e308, 5e-324, 0.0, -0.0, float("inf"), float("-inf")]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    span = {"v": (min(values), max(values) - min(values))}
-    found = exact_quantiles(df, [], ["v"], {"m": 0.5}, RANGE_CELLS, span).first()
-    assert found.m == pytest.approx(np.median(values))
+    left, narrow = [], quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: left.append(narrow(*a)) or left[-1])
+    found = exact_quantiles(df, [], ["v"], {"m": 0.5}, POWER_CELLS).first()
+    assert found.m == np.median(values)
+    # What the last window puts in order: a handful of values.
+    assert left[-1].count() < 5
+
+
+def test_powers_keep_order_and_every_scale(spark):
+    rng = np.random.default_rng(4)
+    values = [float(s * x) for s in (1, -1) for x in 10.0 ** rng.uniform(-300, 300, 500)] + [2.0**e for e in range(-1074, 1024, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = exact_quantiles(df, [], ["v"], FRACTIONS, POWER_CELLS).first()
+    ordered = sorted(values)
+    assert (found.low, found.high) == (ordered[0], ordered[-1])
+    assert found.mid == pytest.approx(np.median(values))
+
+
+def test_counted_values_give_the_same(spark):
+    data, df = frame(spark, 5)
+    counted = count_values(df, ["g"], "v", extra=F.max("v"))
+    plain = {r.g: (r.median, r.rows) for r in medians(df, ["g"], "v").collect()}
+    assert {r.g: (r.median, r.rows) for r in medians(counted, ["g"], "v", weight="n").collect()} == plain
+    assert counted.agg(F.sum("n")).first()[0] == len(data)
 
 
 def test_nan_is_no_value(spark):

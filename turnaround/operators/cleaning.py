@@ -44,6 +44,16 @@ def fate(start: str, end: str, max_hours: float) -> Column:
     )
 
 
+def valid(start: str, end: str, max_hours: float) -> Column:
+    """Usable dates, a positive time within the limit, created inside the window. Needs `hours`."""
+    return (
+        F.col("closed_date").isNotNull()
+        & (F.col("hours") > 0)
+        & (F.col("hours") <= max_hours)
+        & F.col("created_date").between(moment(start), moment(end))
+    )
+
+
 def keep_valid(
     raw: DataFrame,
     start: str = schema.CREATED_FROM,
@@ -51,12 +61,7 @@ def keep_valid(
     max_hours: float = schema.MAX_HOURS,
 ) -> DataFrame:
     """Closed requests with usable dates, plus their unrounded `hours`; both window ends count."""
-    return with_hours(split_closed(raw)).where(
-        F.col("closed_date").isNotNull()
-        & (F.col("hours") > 0)
-        & (F.col("hours") <= max_hours)
-        & F.col("created_date").between(moment(start), moment(end))
-    )
+    return with_hours(split_closed(raw)).where(valid(start, end, max_hours))
 
 
 def fill_defaults(df: DataFrame, defaults: dict[str, str] = schema.FILL_DEFAULTS) -> DataFrame:
@@ -123,10 +128,17 @@ def duplicate_keys(df: DataFrame, key: str = "unique_key") -> DataFrame:
     return counts.where((F.col("rows") > 1) | F.col(key).isNull())
 
 
-def reconcile_counts(**tables: DataFrame) -> DataFrame:
-    """Row count per named table."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name, df in tables.items()]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+def reconcile_counts(
+    raw: DataFrame,
+    start: str = schema.CREATED_FROM,
+    end: str = schema.CREATED_TO,
+    max_hours: float = schema.MAX_HOURS,
+) -> DataFrame:
+    """Rows of the raw table and how many of them belong to the clean and the open table, in one scan."""
+    tables = {
+        "requests_raw": F.lit(True),
+        "requests_clean": is_closed() & valid(start, end, max_hours),
+        "requests_open": ~is_closed(),
+    }
+    counts = with_hours(raw).agg(*[F.count_if(belongs).alias(name) for name, belongs in tables.items()])
+    return counts.unpivot([], list(tables), "table_name", "rows")

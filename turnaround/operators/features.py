@@ -12,7 +12,7 @@ from turnaround import schema
 from turnaround.functions.dates import is_night, is_weekend, monday_day
 from turnaround.functions.numbers import flag, to_double
 from turnaround.operators.joins import quoted
-from turnaround.operators.quantiles import RANGE_CELLS, exact_quantiles
+from turnaround.operators.quantiles import POWER_CELLS, exact_quantiles
 
 
 def time_features(df: DataFrame, created: str = "created_date") -> DataFrame:
@@ -112,13 +112,7 @@ def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
         return {}
     names = {f"c{i}": c for i, c in enumerate(columns)}
     renamed = df.select(*[quoted(c).cast("double").alias(n) for n, c in names.items()])
-    edges = renamed.agg(*[fn(n).alias(f"{fn.__name__}_{n}") for n in names for fn in (F.min, F.max)]).first()
-    spans = {
-        n: (edges[f"min_{n}"], edges[f"max_{n}"] - edges[f"min_{n}"]) for n in names if edges[f"min_{n}"] is not None
-    }
-    if not spans:
-        return {}
-    found = exact_quantiles(renamed, [], list(spans), {"m": 0.5}, RANGE_CELLS, spans)
+    found = exact_quantiles(renamed, [], list(names), {"m": 0.5}, POWER_CELLS)
     return {names[r.measure]: r.m for r in found.select("measure", "m").collect()}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnaround import schema
@@ -10,7 +10,8 @@ from turnaround.functions.dates import day_text
 from turnaround.functions.numbers import round_half_up, share
 from turnaround.functions.text import format_duration, format_percent, title_label
 from turnaround.operators.cleaning import keep_valid
-from turnaround.operators.quantiles import medians
+from turnaround.operators.quantiles import count_values, medians
+from turnaround.sources.storage import materialize
 
 
 def findings_base(requests: DataFrame, **window) -> DataFrame:
@@ -31,28 +32,32 @@ def heat_only(base: DataFrame) -> DataFrame:
     return base.where(F.col("problem") == schema.HEAT)
 
 
-def top_values(df: DataFrame, column: str, n: int = 15) -> DataFrame:
+def top_values(df: DataFrame, column: str, n: int = 15, weight: str | None = None) -> DataFrame:
     """The `n` most frequent non-null values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(rows.alias("_rows"))
     return counts.orderBy(F.desc("_rows"), column).limit(n).select(column)
 
 
 def medians_by(
-    df: DataFrame, column: str, value: str = "hours", keep: DataFrame | None = None, ordered: bool = True
+    df: DataFrame, column: str, value: str = "hours", keep: DataFrame | None = None, ordered: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Median and count per value, shortest first; `keep` (one column) restricts the values."""
+    """Median and count per value, shortest first; `keep` (one column) restricts the values, `weight`
+    says how often a row counts."""
     chosen = df.where(F.col(column).isNotNull())
     if keep is not None:
         chosen = chosen.join(keep, column, "left_semi")
-    found = medians(chosen, [column], value).select(
+    found = medians(chosen, [column], value, weight=weight).select(
         F.col(column).alias("label"), F.col("median").alias("median_hours"), F.col("rows").alias("count")
     )
     return found.orderBy("median_hours", "label") if ordered else found
 
 
 def findings_by_problem(base: DataFrame, top: int = 15) -> DataFrame:
+    counted = count_values(base, ["problem"], "hours")
     # The allow-list has at most `top` rows by construction.
-    return medians_by(base, "problem", keep=F.broadcast(top_values(base, "problem", top)))
+    return medians_by(counted, "problem", keep=F.broadcast(top_values(counted, "problem", top, "n")), weight="n")
 
 
 def agency_share(df: DataFrame, column: str, agency: str) -> DataFrame:
@@ -64,6 +69,24 @@ def agency_share(df: DataFrame, column: str, agency: str) -> DataFrame:
     )
 
 
+def lists_by(base: DataFrame, column: str, agency: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Medians of all requests by a column, of heat requests alone, and the agency's share.
+
+    One scan: requests are counted by label, heat or not, and exact hours; all three lists come from
+    the counted rows.
+    """
+    marked = base.withColumn("_heat", F.coalesce(F.col("problem") == schema.HEAT, F.lit(False)))
+    counted = count_values(marked, [column, "_heat"], "hours", handled=F.count_if(F.col("agency") == agency))
+    shares = counted.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("label")).agg(
+        round_half_up(F.sum("handled") / F.sum("n"), 3).alias("share"), F.sum("n").alias("count")
+    )
+    return (
+        medians_by(counted, column, ordered=False, weight="n"),
+        medians_by(counted.where("_heat"), column, ordered=False, weight="n"),
+        shares,
+    )
+
+
 def _within(hours: Column) -> dict[str, Column]:
     return {
         "share_within_2h": share(hours <= 2),
@@ -78,13 +101,15 @@ def findings_shares(base: DataFrame) -> DataFrame:
 
 def findings_overall(base: DataFrame) -> DataFrame:
     """Total, first and last day and median in one row."""
-    marked = base.withColumn("_all", F.lit(1))
-    totals = marked.groupBy("_all").agg(
-        F.count(F.lit(1)).alias("total"),
-        day_text(F.min("created")).alias("first_created"),
-        day_text(F.max("created")).alias("last_created"),
+    counted = count_values(
+        base.withColumn("_all", F.lit(1)), ["_all"], "hours", first=F.min("created"), last=F.max("created")
     )
-    middle = medians(marked, ["_all"], "hours").select("_all", F.col("median").alias("median_hours"))
+    totals = counted.groupBy("_all").agg(
+        F.sum("n").alias("total"),
+        day_text(F.min("first")).alias("first_created"),
+        day_text(F.max("last")).alias("last_created"),
+    )
+    middle = medians(counted, ["_all"], "hours", weight="n").select("_all", F.col("median").alias("median_hours"))
     return totals.join(middle, "_all").drop("_all")
 
 
@@ -92,8 +117,14 @@ def findings_document(base: DataFrame, top: int = 15) -> DataFrame:
     """All findings as one nested row.
 
     Every request is tagged with the lists it counts in, so one grouping and one median pass serve
-    the totals and all seven lists. Only the grouped rows, one per list and label, are assembled.
+    the totals and all seven lists. The most frequent problem types are found first; only their
+    requests are tagged for that list. Only the grouped rows, one per list and label, are assembled.
     """
+    columns = ["problem", "borough", "channel", "agency", "hours", "created"]
+    base = materialize(base.select(*columns), "findings-base")
+    # At most `top` rows by construction.
+    frequent = top_values(base, "problem", top).withColumn("_frequent", F.lit(True))
+    base = base.join(F.broadcast(frequent), "problem", "left")
     heat, borough_known = F.col("problem") == schema.HEAT, F.col("borough") != schema.UNSPECIFIED
     channel_known = F.col("channel").isin(schema.FINDINGS_CHANNELS)
 
@@ -103,7 +134,7 @@ def findings_document(base: DataFrame, top: int = 15) -> DataFrame:
     lists = F.array_compact(
         F.array(
             entry("all", F.lit("all"), F.lit(True)),
-            entry("by_problem", F.col("problem"), F.lit(True)),
+            entry("by_problem", F.col("problem"), F.col("_frequent").isNotNull()),
             entry("by_borough", F.col("borough"), borough_known),
             entry("heat_by_borough", F.col("borough"), borough_known & heat),
             entry("by_channel", F.col("channel"), channel_known),
@@ -120,12 +151,7 @@ def findings_document(base: DataFrame, top: int = 15) -> DataFrame:
         *[c.alias(name) for name, c in _within(F.col("hours")).items()],
     )
     middle = medians(tagged, ["list", "label"], "hours").select("list", "label", F.col("median").alias("median_hours"))
-    by_size = Window.partitionBy("list").orderBy(F.desc("count"), "label")
-    rows = (
-        grouped.join(middle, ["list", "label"])
-        .withColumn("place", F.row_number().over(by_size))
-        .where((F.col("list") != "by_problem") | (F.col("place") <= top))
-    )
+    rows = grouped.join(middle, ["list", "label"])
 
     def listed(name: str, value: str, published: str, sort_by_label: bool) -> Column:
         order = ["label"] if sort_by_label else [value, "label"]
@@ -193,6 +219,8 @@ def shared_scale(**lists: DataFrame) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    # One row per list and label reaches this window.
-    top = F.max("median_hours").over(Window.partitionBy())
-    return rows.withColumn("scale_max", top).withColumn("part", round_half_up(F.col("median_hours") / F.col("scale_max"), 4))
+    # The greatest median is one row, found by a pre-aggregated pass.
+    rows = materialize(rows, "scale-rows").withColumn("_all", F.lit(1))
+    greatest = rows.groupBy("_all").agg(F.max("median_hours").alias("scale_max"))
+    scaled = rows.join(F.broadcast(greatest), "_all").drop("_all")
+    return scaled.withColumn("part", round_half_up(F.col("median_hours") / F.col("scale_max"), 4))

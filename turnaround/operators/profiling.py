@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from turnaround import schema
 from turnaround.functions.numbers import round_half_up
-from turnaround.operators.quantiles import RAW_HOUR_CELLS, exact_quantiles
+from turnaround.operators.quantiles import RAW_HOUR_CELLS, count_values, exact_quantiles
+from turnaround.sources.storage import materialize
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
@@ -50,18 +51,24 @@ def profile_closed_share(df: DataFrame) -> DataFrame:
 
 def profile_describe(df: DataFrame, value: str = "hours", digits: int = 2) -> DataFrame:
     """Count, mean, sample deviation, least, quartiles and greatest of one measure; null left out."""
-    v = F.col(value)
-    basic = df.agg(
-        F.count(v).alias("count"),
-        round_half_up(F.avg(v), digits).alias("mean"),
-        round_half_up(F.stddev_samp(v), digits).alias("std"),
+    counted = count_values(df, [], value).where(F.col(value).isNotNull()).withColumn("measure", F.lit(value))
+    v, n = F.col(value), F.col("n")
+    basic = counted.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("count"),
+        F.try_divide(F.sum(v * n), F.sum(n)).alias("_mean"),
         round_half_up(F.min(v), digits).alias("min"),
         round_half_up(F.max(v), digits).alias("max"),
     ).withColumn("measure", F.lit(value))
-    quartiles = exact_quantiles(df, [], [value], {"p25": 0.25, "p50": 0.5, "p75": 0.75}, RAW_HOUR_CELLS).select(
+    # One row each; deviations are summed around the mean, which loses no digits.
+    spread = counted.join(F.broadcast(basic), "measure").groupBy("measure").agg(
+        F.sqrt(F.try_divide(F.sum((v - F.col("_mean")) * (v - F.col("_mean")) * n), F.sum(n) - 1)).alias("_std")
+    )
+    quartiles = exact_quantiles(counted, [], [value], {"p25": 0.25, "p50": 0.5, "p75": 0.75}, RAW_HOUR_CELLS, "n").select(
         "measure", *[round_half_up(F.col(q), digits).alias(q) for q in ("p25", "p50", "p75")]
     )
-    return basic.join(quartiles, "measure", "left")
+    joined = basic.join(spread, "measure", "left").join(quartiles, "measure", "left")
+    mean, std = (round_half_up(F.col(c), digits).alias(c[1:]) for c in ("_mean", "_std"))
+    return joined.select("measure", "count", mean, std, "min", "max", "p25", "p50", "p75")
 
 
 def profile_anomalies(df: DataFrame, max_hours: float = schema.MAX_HOURS) -> DataFrame:
@@ -73,17 +80,18 @@ def profile_anomalies(df: DataFrame, max_hours: float = schema.MAX_HOURS) -> Dat
 def profile_top_values(df: DataFrame, columns: list[str] = schema.PROFILED, top: int = 3) -> DataFrame:
     """Number of distinct values and the most frequent ones per column; absent columns are skipped.
 
-    All columns are counted in one pass. The rank filter lets Spark cut each partition to `top` rows
+    All columns are counted in one pass and the counts stored, as they are read twice. The rank filter lets Spark cut each partition to `top` rows
     per column before the ranking shuffle, so a column with many values is never sorted whole.
     """
     present = [c for c in columns if c in df.columns]
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in present])
-    counts = (
+    counts = materialize(
         df.select(F.explode(pairs).alias("p"))
         .select("p.*")
         .where(F.col("value").isNotNull())
         .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.count(F.lit(1)).alias("rows")),
+        "value-counts",
     )
     order = Window.partitionBy("column_name").orderBy(F.desc("rows"), "value")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -122,13 +130,14 @@ def verify_load(df: DataFrame, columns: list[str] = schema.SAMPLED, n: int = 3)
 
 def resolution_stats(df: DataFrame, value: str = "hours", digits: int = 1) -> DataFrame:
     """Least, median, mean and greatest of a measure."""
-    v = F.col(value)
-    basic = df.agg(
+    counted = count_values(df, [], value).where(F.col(value).isNotNull())
+    v, n = F.col(value), F.col("n")
+    basic = counted.agg(
         round_half_up(F.min(v), digits).alias("min_hours"),
-        round_half_up(F.avg(v), digits).alias("mean_hours"),
+        round_half_up(F.try_divide(F.sum(v * n), F.sum(n)), digits).alias("mean_hours"),
         round_half_up(F.max(v), digits).alias("max_hours"),
     ).withColumn("measure", F.lit(value))
-    middle = exact_quantiles(df, [], [value], {"m": 0.5})
+    middle = exact_quantiles(counted, [], [value], {"m": 0.5}, weight="n")
     return basic.join(middle, "measure", "left").select(
         "min_hours", round_half_up(F.col("m"), digits).alias("median_hours"), "mean_hours", "max_hours"
     )

@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnaround.functions.numbers import round_half_up
+from turnaround.sources.storage import materialize
 
 # A year of hours has 876,000 cells of this width; a cell holds 36 different seconds.
 HOUR_CELLS = (0.01,)
 # Unchecked dates may lie centuries apart: 100-hour cells first.
 RAW_HOUR_CELLS = (100.0, 0.01)
-# Parts of a measure's range: 10,000 cells per step, down to the precision of a double.
-RANGE_CELLS = (1e-4, 1e-8, 1e-12)
+# Any doubles: cells by power of two and sign, then 65,536 parts of a power per step. They depend on no
+# range of the data, so no outlier can gather the other values in one cell.
+POWER_CELLS = (None, 2.0**16, 2.0**32, 2.0**48)
 
 
 def time_summary(
@@ -47,8 +49,8 @@ def exact_quantiles(
     keys: Sequence[str],
     values: Sequence[str],
     fractions: dict[str, float],
-    cells: Sequence[float] = HOUR_CELLS,
-    spans: dict[str, tuple[float, float]] | None = None,
+    cells: Sequence[float | None] = HOUR_CELLS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Quantiles of unrounded measures: `(*keys, measure, rows, <one column per fraction>)`.
 
@@ -57,21 +59,21 @@ def exact_quantiles(
     the values left are put in order. A task sees the cells of one group, then the cells of one cell,
     then the distinct values of the smallest cells, never a whole group. Null and NaN are left out.
 
-    `cells` are widths in units of the measure; `spans` gives `(least, range)` of measures whose
-    widths are parts of their range instead.
+    `cells` are widths in units of the measure, or `POWER_CELLS`. `weight` names a column that says how
+    often a row counts, for tables that are counted already (see `count_values`).
     """
     group = [*keys, "measure"]
     counted = (
-        _measures(df, keys, values)
+        _measures(df, keys, values, F.col(weight) if weight else F.lit(1))
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
         .groupBy(*group, "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("w").alias("n"))
     )
     # A struct compares null group keys as equal, so plain joins and windows on it keep null groups.
     rows = counted.withColumn("place", F.struct(*group))
     known = []
-    for width in cells:
-        rows = _narrow(rows.withColumn("cell", F.floor(_position(spans or {}) / width)), known, fractions)
+    for cell in _powers(cells[1:]) if cells[0] is None else [F.floor(F.col("v") / width) for width in cells]:
+        rows = _narrow(rows.withColumn("cell", cell), known, fractions)
         known = ["before", "rows"]
     in_place = Window.partitionBy("place").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumn("upto", F.col("before") + F.sum("n").over(in_place))
@@ -88,22 +90,33 @@ def exact_quantiles(
     )
 
 
-def _measures(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """One row per row and measure: `(*keys, measure, v)`."""
+def count_values(df: DataFrame, keys: Sequence[str], value: str, **totals: Column) -> DataFrame:
+    """`(*keys, value, n, *totals)`: equal values of a group as one row, counted and stored.
+
+    The one scan of a large table for quantiles (with `weight="n"`) and for whatever else the counted
+    rows or the further `totals` answer. Null values are counted too.
+    """
+    named = [c.alias(name) for name, c in totals.items()]
+    return materialize(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *named), "counted")
+
+
+def _measures(df: DataFrame, keys: Sequence[str], values: Sequence[str], weight: Column) -> DataFrame:
+    """One row per row and measure: `(*keys, measure, v, w)`."""
+    w = weight.alias("w")
     if len(values) == 1:
-        return df.select(*keys, F.lit(values[0]).alias("measure"), F.col(values[0]).cast("double").alias("v"))
+        return df.select(*keys, F.lit(values[0]).alias("measure"), F.col(values[0]).cast("double").alias("v"), w)
     pairs = F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("v")) for v in values])
-    return df.select(*keys, F.explode(pairs).alias("_m")).select(*keys, "_m.measure", "_m.v")
+    return df.select(*keys, F.explode(pairs).alias("_m"), w).select(*keys, "_m.measure", "_m.v", "w")
 
 
-def _position(spans: dict[str, tuple[float, float]]) -> Column:
-    """The value, or for measures with a span its place in it from 0 to 1."""
+def _powers(parts: Sequence[float]) -> list[Column]:
+    """Cells that grow with the value: its sign and power of two, then parts of that power."""
     v = F.col("v")
-    scaled = [
-        F.when(F.col("measure") == m, (v - F.lit(float(least))) / F.lit(float(size) or 1.0))
-        for m, (least, size) in spans.items()
-    ]
-    return F.coalesce(*scaled, v) if scaled else v
+    power = F.floor(F.least(F.log2(F.abs(v)), F.lit(1025.0)))
+    signed = F.coalesce(F.signum(v).cast("bigint") * (power + 1100), F.lit(0))
+    # Within a cell of the first step the power is one and the same, so the parts are in order.
+    inner = [F.coalesce(F.floor(v / F.pow(F.lit(2.0), power) * n), F.lit(0)) for n in parts]
+    return [signed, *inner]
 
 
 def _rank(q: float) -> Column:
@@ -130,7 +143,7 @@ def _narrow(rows: DataFrame, known: list[str], fractions: dict[str, float]) -> D
     return inner.join(targets, "place")
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str, digits: int = 1) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], value: str, digits: int = 1, weight: str | None = None) -> DataFrame:
     """Rounded median and row count per group of an unrounded measure: `(*keys, median, rows)`."""
-    found = exact_quantiles(df, keys, [value], {"median": 0.5})
+    found = exact_quantiles(df, keys, [value], {"median": 0.5}, weight=weight)
     return found.select(*keys, round_half_up(F.col("median"), digits).alias("median"), "rows")

@@ -53,7 +53,7 @@ def train_small(feature_table: DataFrame, folder: str, estimator: Estimator | No
 
 def publish_findings(short_requests: DataFrame, path: str, **window) -> DataFrame:
     """The findings document of an export's seven columns, written as JSON."""
-    base = storage.materialize(findings.findings_base(short_requests, **window), "findings-base")
+    base = findings.findings_base(short_requests, **window)
     document = storage.materialize(findings.findings_document(base), "findings")
     findings.write_document(document, path)
     return document

@@ -261,12 +261,7 @@ def verify_load(spark, sf_dir):
 
 @query
 def reconcile_counts(spark, sf_dir):
-    raw = typed(spark, sf_dir, place=False)
-    return cleaning.reconcile_counts(
-        requests_raw=raw,
-        requests_clean=cleaning.clean_requests(raw, **WINDOW),
-        requests_open=cleaning.open_requests(raw),
-    )
+    return cleaning.reconcile_counts(typed(spark, sf_dir, place=False), **WINDOW)
 
 
 # --- Profiling --------------------------------------------------------------------------------
@@ -479,22 +474,13 @@ def predictions_table(spark, sf_dir):
 @query
 def borough_comparison(spark, sf_dir):
     rows = findings.with_borough(base(spark, sf_dir))
-    return findings.comparison(
-        findings.medians_by(rows, "borough", ordered=False),
-        findings.medians_by(findings.heat_only(rows), "borough", ordered=False),
-        findings.agency_share(rows, "borough", schema.HOUSING_AGENCY),
-    )
+    return findings.comparison(*findings.lists_by(rows, "borough", schema.HOUSING_AGENCY))
 
 
 @query
 def channel_comparison(spark, sf_dir):
     rows = findings.with_channel(base(spark, sf_dir, place=False))
-    return findings.comparison(
-        findings.medians_by(rows, "channel", ordered=False),
-        findings.medians_by(findings.heat_only(rows), "channel", ordered=False),
-        findings.agency_share(rows, "channel", schema.POLICE_AGENCY),
-        slowest_first=False,
-    )
+    return findings.comparison(*findings.lists_by(rows, "channel", schema.POLICE_AGENCY), slowest_first=False)
 
 
 # --- Analysis queries -------------------------------------------------------------------------
@@ -653,9 +639,7 @@ def findings_police_share(spark, sf_dir):
 
 @query
 def findings_json(spark, sf_dir):
-    # The document reads the base twice.
-    rows = storage.materialize(base(spark, sf_dir), "findings-base")
-    return findings.as_json(findings.findings_document(rows))
+    return findings.as_json(findings.findings_document(base(spark, sf_dir)))
 
 
 @query
@@ -710,10 +694,8 @@ def type_chart_rows(spark, sf_dir):
 @query
 def shared_scale(spark, sf_dir):
     rows = findings.with_borough(base(spark, sf_dir))
-    return findings.shared_scale(
-        by_borough=findings.medians_by(rows, "borough", ordered=False),
-        heat_by_borough=findings.medians_by(findings.heat_only(rows), "borough", ordered=False),
-    )
+    by_borough, heat_by_borough, _ = findings.lists_by(rows, "borough", schema.HOUSING_AGENCY)
+    return findings.shared_scale(by_borough=by_borough, heat_by_borough=heat_by_borough)
 
 
 # --- Display texts ----------------------------------------------------------------------------
