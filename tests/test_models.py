@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnaround import schema
@@ -62,6 +63,17 @@ def test_models_beat_the_baseline(spark, planted, small, tmp_path):
     assert first == second
 
 
+def test_shuffled_encoding_loses_to_the_baseline(spark, planted, small):
+    train, validation, _ = modelling.prepared_split(planted, ["train"], ["validation"])
+    base = evaluation.regression_metrics(modelling.baseline().transform(validation)).first().r2
+    order = Window.orderBy(F.md5(F.col("unique_key").cast("string")))
+    place = train.withColumn("at", F.row_number().over(Window.orderBy("unique_key")))
+    moved = train.select(F.row_number().over(order).alias("at"), F.col("problem_type_encoded").alias("other"))
+    shuffled = place.join(moved, "at").withColumn("problem_type_encoded", F.col("other")).drop("at", "other")
+    tidy = modelling.fit_and_score("forest", small[modelling.FOREST], shuffled, validation, modelling.feature_columns(train), "validation")[1]
+    assert {r.metric: r.value for r in tidy.collect()}["r2"] < base
+
+
 def test_same_seed_same_forest(spark, planted, small):
     train, validation, _ = modelling.prepared_split(planted, ["train"], ["validation"])
     ordered = train.coalesce(1).sortWithinPartitions("unique_key")

