@@ -1,4 +1,4 @@
-"""Substring dedup: lines and sentences hashed, the earliest of equal ones kept, the others removed."""
+"""Substring dedup: paragraphs, lines and sentences hashed, the earliest of equal ones kept, the others removed."""
 
 from __future__ import annotations
 
@@ -15,23 +15,66 @@ from turnaround.sources.storage import materialize
 
 #: Units with fewer words are never duplicates: short lines recur by chance in clean texts.
 MIN_WORDS = 6
-# A unit ends with its line, or with the blank run behind a sentence's mark.
-_BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+")
+#: Characters that count as a word in scripts written without blanks.
+UNSPACED_CHARS = 2
+# A sentence ends with its line, or with the blank run behind its mark; full-width marks need no blank.
+_BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])(?!\n)")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
+Piece = tuple[int, int, list[str]]
 
-def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """`(start, end, digest)` of each unit of `min_words` words or more, offsets in code points.
 
-    Lines are cut at sentence ends, so a passage quoted within a line is found by its sentences.
-    Digests are 128-bit, of the words in lower case with single blanks between them.
+def _long(words: list[str], min_words: int) -> bool:
+    return len(words) >= min_words or sum(
+        max(1, len(_UNSPACED.findall(w)) // UNSPACED_CHARS) for w in words if not w.isascii()
+    ) + sum(map(str.isascii, words)) >= min_words
+
+
+def _whole(pieces: list[Piece]) -> Piece:
+    return pieces[0][0], pieces[-1][1], [w for p in pieces for w in p[2]]
+
+
+def _line_units(line: list[Piece], min_words: int) -> Iterator[Piece]:
+    """The sentences of a line, the line, and sentences with the short ones between them."""
+    at = -1
+    for i, piece in enumerate(line):
+        if _long(piece[2], min_words):
+            yield piece
+            if 0 <= at < i - 1 and i - at + 1 < len(line):
+                yield _whole(line[at : i + 1])
+            at = i
+    if len(line) > 1 and _long((whole := _whole(line))[2], min_words):
+        yield whole
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """`(start, end, digest)` of each unit of `min_words` words or more, offsets in code points, by
+    start and end.
+
+    Units are paragraphs (lines without an empty one between), lines and sentences, so a passage quoted
+    within a line is found by its sentences and short sentences go with the line that repeats; two
+    sentences are also one unit with the short ones between them. Units overlap; one that adds no
+    words to another is left out. Digests are 128-bit, of the words in lower case with single blanks
+    between them.
     """
-    at = 0
+    at, line, block, found = 0, [], [], []
     for m in _BREAK.finditer(text + "\n"):
         start, end = at, m.start()
         at = m.end()
-        words = text[start:end].lower().split()
-        if len(words) >= min_words:
-            yield start, end, xxhash.xxh3_128_digest(" ".join(words).encode())
+        if words := text[start:end].lower().split():
+            line.append((start, end, words))
+        if m[0] != "\n":
+            continue
+        found += _line_units(line, min_words)
+        if line:
+            block.append(_whole(line))
+        if not line or end == len(text):
+            if len(block) > 1 and _long((whole := _whole(block))[2], min_words):
+                found.append(whole)
+            block = []
+        line = []
+    for start, end, words in sorted(found, key=lambda x: x[:2]):
+        yield start, end, xxhash.xxh3_128_digest(" ".join(words).encode())
 
 
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
@@ -75,7 +118,8 @@ def removals(table: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`(doc_id, n_chars, n_units, n_removed, removed_chars, removed)` for every row of `docs`.
 
-    `removed` lists `start:end` of the units to remove, offsets in code points of the original text.
+    `removed` lists `start:end` of the units to remove, offsets in code points of the original text;
+    units overlap (a line and its sentences), and `removed_chars` counts their union.
     A null text is an empty one (no units). Rows with a null id come last in rank; rows that repeat
     an id are ranked among each other in table order, so a repeated row loses its units and the first
     keeps them. Texts are read whole; an empty table gives an empty result; other columns are not read.
@@ -87,7 +131,10 @@ def duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>"))
     return found.withColumn("s", spans).select(
         "doc_id", "n_chars", F.col("n_units").cast("long").alias("n_units"), F.size("s").cast("long").alias("n_removed"),
-        F.expr("aggregate(s, 0L, (a, x) -> a + x.end - x.start)").alias("removed_chars"),
+        F.expr(
+            "aggregate(s, struct(0L as done, 0L as n), (a, x) -> struct(greatest(a.done, x.end) as done, "
+            "a.n + greatest(0L, x.end - greatest(a.done, x.start)) as n), a -> a.n)"
+        ).alias("removed_chars"),
         F.expr("array_join(transform(s, x -> concat(x.start, ':', x.end)), ',')").alias("removed"),
     )
 
