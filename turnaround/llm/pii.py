@@ -20,14 +20,16 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Code points on either side of an entity whose whole words count as its context.
 REACH = 100
-#: Different contexts in which a term must stand beside an entity.
+#: Different contexts in which a term must stand beside an entity: as many as the entity's documents,
+#: two at least and MIN_CONTEXTS at most.
 MIN_CONTEXTS = 3
 #: A term discloses an entity if their pointwise mutual information is this share of the entity's own
-#: information; 1.0: the term stands nowhere in the corpus but beside that entity.
-THRESHOLD = 1.0
+#: information; at 1.0 the term would stand nowhere in the corpus but beside that entity.
+THRESHOLD = 0.9
+#: Longer words are counted by their hash.
+TERM_CHARS = 40
 #: Terms sought in one pass over the texts (a broadcast of some 40 MB at most).
 TERMS_A_PASS = 500_000
-TERM_CHARS = 40
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -92,18 +94,18 @@ def base_spans(text: str) -> list[Span]:
 
 
 def term(word: str) -> str | None:
-    """The form in which a word is counted: lower case, without marks at its ends. None if nothing,
-    or too much, is left, or if it holds no letter."""
+    """The form in which a word is counted: lower case, without marks at its ends; a hash of it behind a
+    mark if it is long. None if nothing is left."""
     word = word.strip(_EDGE).lower()
-    return word if 2 < len(word) <= TERM_CHARS and not word.isdigit() else None
+    return (word if len(word) <= TERM_CHARS else "#" + xxhash.xxh3_128_hexdigest(word.encode())) or None
 
 
 def _value(kind: str, text: str) -> str:
     return text.lower() if kind == "email" else text if kind == "ip" else "".join(c for c in text if c.isdigit())
 
 
-def contexts(text: str) -> Iterator[tuple[str, str, set[str]]]:
-    """For every entity of a text: its kind and value, and the terms that stand beside it."""
+def contexts(text: str) -> Iterator[tuple[str, str, int, int, set[str]]]:
+    """For every entity of a text: its kind, value and place, and the terms that stand beside it."""
     spans = base_spans(text)
     taken = [(s, e) for _, s, e in spans]
     for kind, start, end in spans:
@@ -115,7 +117,7 @@ def contexts(text: str) -> Iterator[tuple[str, str, set[str]]]:
                 )
                 if whole and not any(s < m.end() and m.start() < e for s, e in taken) and (t := term(m[0])):
                     beside.add(t)
-        yield kind, _value(kind, text[start:end]), beside
+        yield kind, _value(kind, text[start:end]), start, end, beside
 
 
 def _hash(text: str) -> int:
@@ -123,7 +125,11 @@ def _hash(text: str) -> int:
 
 
 def joint_counts(docs: DataFrame) -> DataFrame:
-    """`(entity, term, word, kind, doc)`: every term beside every entity, once per document."""
+    """`(entity, term, around, n)`: every term beside every entity in every context of a document, `n` one
+    for the first of these and else zero; without a term, a row per entity and document.
+
+    Mentions of an entity whose surroundings overlap are one context.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,20 +137,27 @@ def joint_counts(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 if not _DIGIT.search(text) and "@" not in text:
                     continue
-                beside: dict[tuple[str, str], set[str]] = {}
-                for kind, value, terms in contexts(text):
-                    beside.setdefault((kind, value), set()).update(terms)
-                for (kind, value), terms in beside.items():
-                    around = _hash(" ".join(sorted(terms)))
-                    rows += [(_hash(f"{kind}:{value}"), t, around) for t in sorted(terms)]
-                    rows.append((_hash(f"{kind}:{value}"), None, around))
-            columns = list(zip(*rows)) if rows else [[], [], []]
+                beside: dict[tuple[str, str], list[list]] = {}
+                for kind, value, start, end, terms in contexts(text):
+                    met = beside.setdefault((kind, value), [])
+                    if met and start - met[-1][0] < 2 * REACH:
+                        met[-1] = [end, met[-1][1] | terms]
+                    else:
+                        met.append([end, terms])
+                for (kind, value), met in beside.items():
+                    entity, seen = _hash(f"{kind}:{value}"), set()
+                    rows.append((entity, None, 0, 1))
+                    for _, terms in met:
+                        around = _hash(" ".join(sorted(terms)))
+                        rows += [(entity, t, around, int(t not in seen)) for t in sorted(terms)]
+                        seen |= terms
+            columns = list(zip(*rows)) if rows else [[], [], [], []]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())],
-                ["entity", "term", "around"],
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["entity", "term", "around", "n"]
             )
 
-    return common.map_batches(_texts(docs), run, "entity long, term string, around long")
+    return common.map_batches(_texts(docs), run, "entity long, term string, around long, n long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -186,18 +199,20 @@ def disclosing_terms(docs: DataFrame, threshold: float = THRESHOLD, min_contexts
     With N documents, n(c) that hold entity c, n(t) that hold term t and n(c, t) in which t stands
     beside c, the pointwise mutual information is log(n(c,t) N / (n(c) n(t))) and c's own information
     log(N / n(c)). Their ratio, the largest over entities, is the disclosure. Copies of a passage show
-    a term once: `min_contexts` different contexts are needed, so a rare word beside a copied address
-    is not taken for its owner's name.
+    a term once: different contexts are needed, as many as the entity has documents, from two to
+    `min_contexts`, so a rare word beside a copied address is not taken for its owner's name. An entity
+    met in one context only tells nothing: every rare word beside it would score alike.
     """
     beside = materialize(joint_counts(docs), "entity-contexts")
     total = docs.count()
     entities = beside.where("term is null").groupBy("entity").agg(F.count("*").alias("n_c"))
     pairs = (
-        beside.where("term is not null").groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
+        beside.where("term is not null").groupBy("entity", "term", "around").agg(F.sum("n").alias("n"))
         .groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("n_around"))
-        .where(F.col("n_around") >= min_contexts)
+        .where("n_around >= 2")
     )
-    pairs = materialize(pairs.join(entities, "entity"), "entity-terms")
+    floor = F.greatest(F.lit(2), F.least(F.lit(min_contexts), F.col("n_c")))
+    pairs = materialize(pairs.join(entities, "entity").where(F.col("n_around") >= floor), "entity-terms")
     found = document_counts(docs, pairs.select("term").distinct())
     if found is None:
         return docs.sparkSession.createDataFrame([], "term string, disclosure double")
