@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnaround.llm import chat, mixing, neighbours, packing, pii, quality, simhash, substring, tokens, warc
+from turnaround.llm import chat, mixing, neighbours, packing, phrases, pii, quality, simhash, substring, tokens, warc
 from turnaround.llm.common import table
 from turnaround.sources.storage import materialize
 
@@ -92,10 +92,15 @@ def op10_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_rabin_karp_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own = [
         op1_cross_polytope, op2_length_packing, op3_simhash_trie, op4_perplexity_rules, op5_chat_examples,
-        op6_disclosure, op7_raking, op8_unit_dedup, op9_token_counts, op10_warc_packages,
+        op6_disclosure, op7_raking, op8_unit_dedup, op9_token_counts, op10_warc_packages, op11_rabin_karp_phrases,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -139,6 +144,41 @@ FROM d
 """
 
 
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), lists AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang
+), phrases AS (
+  SELECT lang, k.k AS width, unnest(list_transform(range(1, (len(w) - k.k + 2)::BIGINT), lambda i: w[i : i + k.k - 1])) AS w
+  FROM lists, (VALUES (1), (2), (3)) k(k) WHERE len(w) >= k.k
+), counted AS MATERIALIZED (
+  SELECT lang, width, array_to_string(w, ' ') AS phrase, w, count(*) AS a FROM phrases GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT c.lang, c.width, c.phrase, c.a, k.k, l.a AS l, r.a AS r,
+         (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
+  FROM counted c JOIN (VALUES (1), (2)) k(k) ON k.k < c.width
+  JOIN counted l ON l.lang = c.lang AND l.w = c.w[1 : k.k]
+  JOIN counted r ON r.lang = c.lang AND r.w = c.w[k.k + 1 :]
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), free AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM counted t WHERE t.lang = b.lang AND t.width = 3 AND b.width = 2 AND 100 * t.a >= 50 * b.a
+      AND (t.w[1:2] = string_split(b.phrase, ' ') OR t.w[2:3] = string_split(b.phrase, ' ')))
+)
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM free JOIN totals USING (lang)
+QUALIFY rank <= 2000 WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+"""
+
+
 def mixing_sql() -> str:
     exponents, share = corpus_pipeline.MIX_EXPONENTS, corpus_pipeline.MIX_SHARE
     margins = list(exponents)
@@ -190,4 +230,7 @@ FROM docs LEFT JOIN p USING ({names})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_examples": CHAT_SQL, "op7_raking": mixing_sql(), "op10_warc_packages": WARC_SQL}
+    return {
+        "op5_chat_examples": CHAT_SQL, "op7_raking": mixing_sql(), "op10_warc_packages": WARC_SQL,
+        "op11_rabin_karp_phrases": PHRASES_SQL,
+    }
