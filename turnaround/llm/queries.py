@@ -175,7 +175,7 @@ WITH pieces AS (
 )
 SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
 FROM free JOIN totals USING (lang)
-QUALIFY rank <= 2000 WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000
 """
 
 
