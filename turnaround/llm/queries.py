@@ -160,18 +160,21 @@ WITH pieces AS (
   FROM lists, (VALUES (1), (2), (3)) k(k) WHERE len(w) >= k.k
 ), counted AS MATERIALIZED (
   SELECT lang, width, array_to_string(w, ' ') AS phrase, w, count(*) AS a FROM phrases GROUP BY ALL HAVING count(*) >= 10
+), halves AS (
+  SELECT lang, width, phrase, a, k.k, array_to_string(w[1 : k.k], ' ') AS head, array_to_string(w[k.k + 1 :], ' ') AS tail
+  FROM counted JOIN (VALUES (1), (2)) k(k) ON k.k < width
 ), cuts AS (
-  SELECT c.lang, c.width, c.phrase, c.a, k.k, l.a AS l, r.a AS r,
-         (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
-  FROM counted c JOIN (VALUES (1), (2)) k(k) ON k.k < c.width
-  JOIN counted l ON l.lang = c.lang AND l.w = c.w[1 : k.k]
-  JOIN counted r ON r.lang = c.lang AND r.w = c.w[k.k + 1 :]
+  SELECT h.*, l.a AS l, r.a AS r, (1000000::HUGEINT * h.a * h.a) // (l.a::HUGEINT * r.a) AS score
+  FROM halves h JOIN counted l ON l.lang = h.lang AND l.phrase = h.head JOIN counted r ON r.lang = h.lang AND r.phrase = h.tail
 ), best AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), holders AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(w[i.i : i.i + 1], ' ') AS phrase FROM counted, (VALUES (1), (2)) i(i) WHERE width = 3
+  ) GROUP BY ALL
 ), free AS (
-  SELECT * FROM best b WHERE NOT EXISTS (
-    SELECT 1 FROM counted t WHERE t.lang = b.lang AND t.width = 3 AND b.width = 2 AND 100 * t.a >= 50 * b.a
-      AND (t.w[1:2] = string_split(b.phrase, ' ') OR t.w[2:3] = string_split(b.phrase, ' ')))
+  SELECT b.* FROM best b LEFT JOIN holders h ON h.lang = b.lang AND h.phrase = b.phrase
+  WHERE b.width = 3 OR h.longer IS NULL OR 100 * h.longer < 50 * b.a
 )
 SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
 FROM free JOIN totals USING (lang)
