@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnaround.llm import chat, mixing, neighbours, packing, phrases, pii, quality, simhash, substring, tokens, warc
+from turnaround.llm import chat, mixing, neighbours, packing, phrases, pii, quality, simhash, spelling, spotsigs, substring, tokens, warc
 from turnaround.llm.common import table
 from turnaround.sources.storage import materialize
 
@@ -97,10 +97,21 @@ def op11_rabin_karp_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its form, the end of its chain of forms, and its near words."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own = [
         op1_cross_polytope, op2_length_packing, op3_simhash_trie, op4_perplexity_rules, op5_chat_examples,
         op6_disclosure, op7_raking, op8_unit_dedup, op9_token_counts, op10_warc_packages, op11_rabin_karp_phrases,
+        op12_spotsigs, op13_spelling_variants,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
