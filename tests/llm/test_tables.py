@@ -227,5 +227,5 @@ def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs):
         out = stage(spark, odd_docs, sf_dir)
         assert out.count() >= 0 and (name == "pack_windows" or out.columns == odd_docs.columns), name
         assert stage(spark, no_docs, sf_dir).count() == 0, name
-    left = corpus_pipeline.simhash_dedup(spark, odd_docs, sf_dir)
+    left = corpus_pipeline.minhash_near_dedup(spark, odd_docs, sf_dir)
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 4, 6, 7]
