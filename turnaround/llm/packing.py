@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from array import array
@@ -26,13 +25,14 @@ END_ID = 1
 UNIT = 8
 #: Pieces in an enumerated combination at most.
 DEPTH = 3
-#: Entries of a worker's caches: whole words, and what they are made of.
-CACHE_WORDS, CACHE_PARTS = 3 << 18, 1 << 19
+#: Entries of a worker's caches: whole words, and what they are made of. A full cache becomes the old
+#: one, from which what is met again moves on; the one that was old is forgotten.
+CACHE_WORDS, CACHE_PARTS = 3 << 17, 1 << 18
 _GROUP = 128
 #: White space to Python's split() but not to the tokenizer.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
-# Letters, then ASCII marks: two pre-tokens, which the tokenizer encodes apart.
-_PARTS = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
+#: Marks behind letters are a pre-token of their own, which the tokenizer encodes apart.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
 
 class Encoder:
@@ -50,6 +50,8 @@ class Encoder:
         self.model.no_padding()
         self.cache: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.old_cache: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -57,18 +59,36 @@ class Encoder:
     def _ids(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         if len(self.parts) > CACHE_PARTS:
-            self.parts = {"": b""}
-        made, odd = [], []
+            self.old_parts, self.parts = self.parts, {"": b""}
+        cache, known, odd, later, missing = self.cache, self.parts, [], [], set()
+        old, old_parts = self.old_cache.get, self.old_parts
         for w in words:
-            (made if (two := _split(w)) else odd).append((w, two))
+            if (ids := old(w)) is not None:
+                cache[w] = ids
+                continue
+            letters = w.rstrip(_MARKS)
+            marks = w[len(letters) :]
+            if letters.isascii() and letters.isalpha():
+                letters = letters.lower()
+            elif not _plain(letters):
+                odd.append(w)
+                continue
+            if letters in known and marks in known:
+                cache[w] = known[letters] + known[marks]
+            else:
+                missing.add(letters)
+                missing.add(marks)
+                later.append((w, letters, marks))
         for at in range(0, len(odd), 4096):
-            part = [w for w, _ in odd[at : at + 4096]]
-            self.cache.update(zip(part, self._ids(part)))
-        self._learn_parts(list({p for _, two in made for p in two}.difference(self.parts)))
-        known = self.parts
-        self.cache.update((w, known[a] + known[b]) for w, (a, b) in made)
+            part = odd[at : at + 4096]
+            cache.update(zip(part, self._ids(part)))
+        missing.difference_update(known)
+        known.update((p, old_parts[p]) for p in missing & old_parts.keys())
+        self._learn_parts(list(missing.difference(known)))
+        for w, letters, marks in later:
+            cache[w] = known[letters] + known[marks]
 
     def _learn_parts(self, parts: list[str]) -> None:
         """Parts are one pre-token each, and a pre-token's last id ends a word: many are encoded as one
@@ -84,28 +104,23 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = {i: self._ids([t])[0] for i, t in enumerate(texts) if any(c in t for c in _SEPARATORS)}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        wanted = set().union(*split) if split else set()
-        missing = list(wanted.difference(self.cache))
+        get = self.cache.get
+        found = [list(map(get, words)) for words in split]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        missing = {w for i in lacking for w, ids in zip(split[i], found[i]) if ids is None}
         if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache, missing = {}, list(wanted)
+            self.old_cache, self.cache = self.cache, {}
         if missing:
             self._learn(missing)
-        get = self.cache.__getitem__
-        return [odd[i] if i in odd else b"".join(map(get, words)) for i, words in enumerate(split)]
-
-
-def _split(word: str) -> tuple[str, str] | None:
-    """A word as its letters, in lower case where that is safe, and the marks behind; None where
-    normalising could bring anything but letters into the first part."""
-    found = _PARTS.fullmatch(word)
-    if not found:
-        return None
-    letters = found[1]
-    if letters.isascii():
-        return letters.lower(), found[2]
-    if letters.isalpha() and letters.lower().isalpha() and unicodedata.is_normalized("NFC", letters):
-        return letters, found[2]
-    return None
+            get = self.cache.__getitem__
+            for i in lacking:
+                found[i] = [get(w) if ids is None else ids for w, ids in zip(split[i], found[i])]
+        return [odd[i] if i in odd else b"".join(ids) for i, ids in enumerate(found)]
+
+
+def _plain(letters: str) -> bool:
+    """Whether normalising keeps these letters, not all ASCII, one pre-token of letters."""
+    return letters.isalpha() and letters.lower().isalpha() and unicodedata.is_normalized("NFC", letters)
 
 
 @lru_cache(maxsize=2)
