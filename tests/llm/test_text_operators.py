@@ -391,6 +391,29 @@ def test_plans_place_every_length(counts):
     assert (placed == histogram).all()
 
 
+@pytest.mark.parametrize("counts", [{1: 3000}, {9: 500, 2040: 3}, {2048: 5, 1: 1}, None, {}])
+def test_exact_lengths_leave_little_padding(counts):
+    rng = np.random.RandomState(3)
+    histogram = np.zeros(2049, np.int64)
+    for u, n in counts.items() if counts is not None else [(u, rng.randint(5)) for u in range(1, 2049)]:
+        histogram[u] = n
+    planned = packing.places(histogram, 2048, 8)
+    length = np.repeat(np.arange(2049), histogram)
+    rank = np.concatenate([np.arange(n) for n in histogram]) if len(length) else length
+    sequence, slot = packing.locate(length, rank, planned)
+    held = {}
+    for q, s, n in zip(sequence.tolist(), slot.tolist(), length.tolist()):
+        held.setdefault(q, {})[s] = n
+    assert sum(map(len, held.values())) == len(length)
+    assert all(sum(v.values()) <= 2048 and sorted(v) == list(range(len(v))) for v in held.values())
+    assert len(held) <= 1 + 1.02 * length.sum() / 2048
+
+
+def test_empty_documents_fill_sequences(spark):
+    docs = spark.range(3000).selectExpr("id doc_id", "cast(null as string) text")
+    assert packing.pack_documents(docs, WORDS).select("sequence_id").distinct().count() == 2
+
+
 def test_least_squares_equals_exhaustive_search():
     columns = packing.combinations_filling(6)
     assert (3, 2, 1) in columns and all(sum(c) == 6 and len(c) <= 3 for c in columns)

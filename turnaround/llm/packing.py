@@ -21,8 +21,10 @@ from turnaround.sources.storage import materialize
 
 WINDOW = 2048
 END_ID = 1
-#: Lengths are planned in units of so many ids; a piece loses less than a unit to padding.
+#: Combinations are planned in units of so many ids, of which a piece in one loses less than one.
 UNIT = 8
+#: Deals of the pieces of one length at most.
+SALTS = 1024
 #: Pieces in an enumerated combination at most.
 DEPTH = 3
 #: Entries of a worker's caches: whole words, and what they are made of. A full cache becomes the old
@@ -224,11 +226,10 @@ def nnls(columns: list[tuple[int, ...]], target: np.ndarray) -> np.ndarray:
     return x
 
 
-def plan(histogram: np.ndarray, units: int) -> list[tuple[tuple[int, ...], int]]:
-    """(combination, repeats) so that every counted piece has its place: histogram[u] pieces of u units.
+def fill(histogram: np.ndarray, units: int) -> list[tuple[tuple[int, ...], int]]:
+    """(combination, repeats) that fill windows exactly: histogram[u] pieces of u units, of which some stay.
 
-    The least-squares repeats are rounded to what is there; what is left is packed greedily, longest
-    lengths first, a whole run of equal windows at a time.
+    The least-squares repeats are rounded to what is there.
     """
     left, out = histogram.astype(np.int64).copy(), []
 
@@ -249,70 +250,120 @@ def plan(histogram: np.ndarray, units: int) -> list[tuple[tuple[int, ...], int]]
             x = nnls(columns, left.astype(float))
             for j in np.argsort(-x, kind="stable"):
                 take(columns[j], min(int(round(x[j])), room(columns[j])))
+    return out
+
+
+def greedy(histogram: np.ndarray, space: int) -> list[tuple[tuple[int, ...], int]]:
+    """(combination, repeats) for all pieces of a histogram of lengths: longest that fit first, a whole
+    run of equal windows at a time."""
+    left, out = histogram.astype(np.int64).copy(), []
     while left.any():
-        parts, space, used = [], units, np.zeros_like(left)
+        parts, room, used = [], space, np.zeros_like(left)
         while True:
-            fits = np.flatnonzero((left - used)[: space + 1] > 0)
+            fits = np.flatnonzero((left - used)[: room + 1] > 0)
             if not len(fits):
                 break
             u = int(fits[-1])
-            many = min(space // u, int(left[u] - used[u]))
+            many = min(room // u, int(left[u] - used[u]))
             parts += [u] * many
             used[u] += many
-            space -= many * u
-        take(tuple(parts), room(tuple(parts)))
+            room -= many * u
+        repeats = int(min(left[u] // used[u] for u in np.flatnonzero(used)))
+        out.append((tuple(parts), repeats))
+        left -= used * repeats
     return out
 
 
-def _segments(patterns: list[tuple[tuple[int, ...], int]], units: int) -> dict[int, np.ndarray]:
-    """For each length the ranges of ranks: from, first sequence, repeats, first slot."""
-    taken, rows, sequence = np.zeros(units + 1, np.int64), {}, 0
+def plan(histogram: np.ndarray, units: int) -> list[tuple[tuple[int, ...], int]]:
+    """(combination, repeats) so that every counted piece has its place: what fills windows, then the rest."""
+    out, left = fill(histogram, units), histogram.astype(np.int64).copy()
+    for parts, repeats in out:
+        for u in parts:
+            left[u] -= repeats
+    return out + greedy(left, units)
+
+
+def _segments(patterns: list[tuple[tuple[int, ...], int]], sequence: int = 0) -> tuple[dict[int, np.ndarray], int]:
+    """For each length the ranges of ranks: from, first sequence, repeats, first slot; and the sequences."""
+    taken: dict[int, int] = {}
+    rows: dict[int, list] = {}
     for parts, repeats in patterns:
         slot = 0
         for u in sorted(set(parts), reverse=True):
-            rows.setdefault(u, []).append((taken[u], sequence, repeats, slot))
-            taken[u] += repeats * parts.count(u)
-            slot += parts.count(u)
+            many = parts.count(u)
+            rows.setdefault(u, []).append((taken.get(u, 0), sequence, repeats, slot))
+            taken[u] = taken.get(u, 0) + repeats * many
+            slot += many
         sequence += repeats
-    return {u: np.array(r, np.int64) for u, r in rows.items()}
+    return {u: np.array(r, np.int64) for u, r in rows.items()}, sequence
+
+
+def places(histogram: np.ndarray, window: int, unit: int) -> tuple:
+    """Where every piece of a histogram of exact lengths goes: combinations are planned in units, of a
+    unit's pieces the longest take part in them, and the rest is packed greedily by exact lengths.
+
+    `(unit_of, before, inside, filled, rest)`: a length's unit, how many pieces of the unit are longer,
+    how many of the length combinations hold, and the segments of both parts."""
+    units = -(-window // unit)
+    lengths = np.arange(window + 1)
+    unit_of = -(-lengths // unit)
+    by_unit = np.bincount(unit_of, histogram, units + 1).astype(np.int64)
+    patterns = fill(by_unit, units)
+    filled, n = _segments(patterns)
+    taken = np.zeros(units + 1, np.int64)
+    for parts, repeats in patterns:
+        for u in parts:
+            taken[u] += repeats
+    before = np.cumsum(by_unit)[unit_of] - np.cumsum(histogram)
+    inside = np.clip(taken[unit_of] - before, 0, histogram)
+    rest, _ = _segments(greedy(histogram - inside, window), n)
+    return unit_of, before, inside, filled, rest
+
+
+def locate(length: np.ndarray, rank: np.ndarray, planned: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and slot of the rank-th pieces of given lengths in a plan of `places`."""
+    unit_of, before, inside, filled, rest = planned
+    sequence, slot = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+    for x in np.unique(length):
+        mine = length == x
+        for at, table, first in (
+            (np.flatnonzero(mine & (rank < inside[x])), filled.get(int(unit_of[x])), before[x]),
+            (np.flatnonzero(mine & (rank >= inside[x])), rest.get(int(x)), -inside[x]),
+        ):
+            if len(at):
+                own = rank[at] + first
+                row = table[np.searchsorted(table[:, 0], own, side="right") - 1]
+                own = own - row[:, 0]
+                sequence[at] = row[:, 1] + own % row[:, 2]
+                slot[at] = row[:, 3] + own // row[:, 2]
+    return sequence, slot
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
     """Adds `sequence_id` and `offset` to pieces of at most `window` ids (columns `doc_id`, `start`,
     `length`, `spread`); `pieces` should be a stored table, it is read three times.
 
-    The plan is made from the histogram of lengths: at most window / unit counts reach the driver, and
-    the plan broadcast back is bounded by them. Pieces of a length are ranked within salts, as many as
-    there are shuffle partitions, so a length that a third of all pieces share is dealt to all tasks.
+    The plan is made from the histogram of lengths: at most a window's counts for each of SALTS salts
+    reach the driver, and the plan broadcast back is bounded by them. Pieces of a length are ranked
+    within salts, so a length that a third of all pieces share is dealt to many tasks.
     """
     spark = pieces.sparkSession
-    units = -(-window // unit)
-    salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    keyed = pieces.withColumns(
-        {"unit": F.ceil(F.col("length") / unit).cast("int"), "salt": F.pmod("spread", F.lit(salts)).cast("int")}
-    )
-    counts = np.zeros((units + 1, salts), np.int64)
-    for r in keyed.groupBy("unit", "salt").count().collect():
-        counts[r["unit"], r["salt"]] = r["count"]
-    before = np.cumsum(counts, axis=1) - counts
-    patterns = plan(counts.sum(axis=1), units)
-    shared = spark.sparkContext.broadcast((before, _segments(patterns, units)))
+    salts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8), SALTS)
+    keyed = pieces.withColumn("salt", F.pmod("spread", F.lit(salts)).cast("int"))
+    counts = np.zeros((window + 1, salts), np.int64)
+    for r in keyed.groupBy("length", "salt").count().collect():
+        counts[r["length"], r["salt"]] = r["count"]
+    base = np.cumsum(counts, axis=1) - counts
+    shared = spark.sparkContext.broadcast((base, places(counts.sum(axis=1), window, unit)))
     ranked = keyed.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("unit", "salt").orderBy("doc_id", "start", "spread")) - 1
+        "rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "spread")) - 1
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, segments = shared.value
+        base, planned = shared.value
         for batch in batches:
-            u, salt = batch.column("unit").to_numpy(), batch.column("salt").to_numpy()
-            rank = batch.column("rank").to_numpy() + base[u, salt]
-            sequence, slot = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
-            for x in np.unique(u):
-                at, table = np.flatnonzero(u == x), segments[int(x)]
-                row = table[np.searchsorted(table[:, 0], rank[at], side="right") - 1]
-                inside = rank[at] - row[:, 0]
-                sequence[at] = row[:, 1] + inside % row[:, 2]
-                slot[at] = row[:, 3] + inside // row[:, 2]
+            length, salt = batch.column("length").to_numpy(), batch.column("salt").to_numpy()
+            sequence, slot = locate(length, batch.column("rank").to_numpy() + base[length, salt], planned)
             keep = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(slot)], [*names, "sequence_id", "slot"])
 
