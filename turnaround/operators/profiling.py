@@ -112,11 +112,43 @@ def sample_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def first_by_hash(df: DataFrame, n: int, seed: int = 42, key: str = "unique_key") -> DataFrame:
+    """The `n` rows of least `sample_order`, in that order; null keys first.
+
+    Counted hash prefixes (65,536 a look, over the key alone) tell the cut-off below which about `n` rows
+    lie, looking four digits further where one prefix holds too many. Only what lies below is ordered, so
+    the last task reads about `n` rows however many partitions there are.
+    """
+    place = F.coalesce(sample_order(key, seed), F.lit(""))
+    least = _hash_cutoff(df.select(place.alias("place")), n)
+    near = df if least is None else df.where(F.substring(place, 1, len(least)) <= least)
+    return near.orderBy(place, key).limit(n)
+
+
+def _hash_cutoff(places: DataFrame, n: int) -> str | None:
+    """A prefix such that the rows up to it are `n` at least, and twice as many at most unless their keys
+    are equal; None if there are fewer rows."""
+    prefix, before = "", 0
+    while True:
+        width = len(prefix) + 4
+        here = places.where(F.col("place").startswith(prefix)) if prefix else places
+        counts = sorted((r["p"], r["n"]) for r in here.groupBy(F.substring("place", 1, width).alias("p")).agg(F.count("*").alias("n")).collect())
+        for value, rows in counts:
+            if before + rows >= n:
+                break
+            before += rows
+        else:
+            return None
+        if before + rows <= 2 * n or len(value) < width or width == 32:
+            return value
+        prefix = value
+
+
 def sample_rows(
     df: DataFrame, n: int = 3, seed: int = 42, columns: list[str] | None = None, key: str = "unique_key"
 ) -> DataFrame:
     """`n` random rows without replacement; the same rows on every run and any partitioning."""
-    ordered = df.orderBy(sample_order(key, seed), key).limit(n)
+    ordered = first_by_hash(df, n, seed, key)
     return ordered.select(*columns) if columns else ordered
 
 

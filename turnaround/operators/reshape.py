@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from turnaround import schema
 from turnaround.functions.numbers import flag, round_half_up
 from turnaround.operators.analysis import ranked_types
-from turnaround.operators.profiling import sample_order
+from turnaround.operators.profiling import first_by_hash
 
 
 def predicted_vs_actual(predictions: DataFrame, top: float = 300, n: int = 8000, seed: int = 42) -> DataFrame:
     """Up to `n` random predictions with both values in `0..top`; null values fall out."""
     inside = F.col("actual_hours").between(0, top) & F.col("predicted_hours").between(0, top)
-    return predictions.where(inside).orderBy(sample_order("unique_key", seed), "unique_key").limit(n)
+    return first_by_hash(predictions.where(inside), n, seed)
 
 
 def dow_label(dow: Column) -> Column:
