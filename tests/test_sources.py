@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnaround import schema
 from turnaround.operators import cleaning, evaluation, findings, profiling
-from turnaround.plans import catalog
+from turnaround.plans import batch, catalog
 from turnaround.sources import exports, storage
 
 HEADERS = [*schema.RENAMES, *schema.DROPPED]
@@ -198,3 +198,64 @@ def test_first_model_wins_a_tie(spark):
 def test_constraint_report_is_empty_for_typed_rows(spark, sf_dir):
     report = cleaning.constraint_violations(catalog.typed(spark, sf_dir))
     assert {r.violations for r in report.collect()} == {0}
+
+
+@pytest.mark.parametrize("columns", [["Unique Key"], ["Agency", "Status"], HEADERS])
+def test_broken_records_are_marked_whichever_columns_are_read(spark, folder, columns):
+    marked = exports.read_export(spark, folder).select(*[F.col(f"`{c}`") for c in columns], exports.CORRUPT)
+    assert sum(r[exports.CORRUPT] is not None for r in marked.collect()) == 2
+    assert exports.read_findings_export(spark, folder).count() == 1
+
+
+def test_broken_records_go_to_quarantine(spark, folder, tmp_path):
+    table = str(tmp_path / "raw")
+    raw = batch.load_raw(spark, folder, table)
+    assert [r.unique_key for r in raw.collect()] == [2] and raw.columns == schema.RAW_SCHEMA.names
+    broken = [r.record for r in storage.scan_table(spark, f"{table}_quarantine").collect()]
+    assert len(broken) == 2 and sum("Broken" in b for b in broken) == 1
+    with pytest.raises(batch.LoadRefused) as refused:
+        batch.load_raw(spark, folder, table, most_broken=1)
+    assert refused.value.found == {"broken records": 2}
+    assert batch.load_raw(spark, folder, table, multi_line=True, most_broken=0).count() == 2
+    assert storage.scan_table(spark, table).count() == 2
+
+
+def test_a_load_that_breaks_rules_is_not_seen(spark, sf_dir, tmp_path):
+    path, rows = str(tmp_path / "raw"), catalog.typed(spark, sf_dir).limit(50)
+    batch.gated_publish(rows, path)
+    bad = rows.withColumn("unique_key", F.when(F.col("unique_key") % 2 == 0, F.col("unique_key")))
+    long = rows.withColumn("agency", F.repeat(F.lit("x"), 500))
+    for frame, name in [(rows.unionByName(rows), "repeated keys"), (bad, "null keys"), (long, "limit of agency")]:
+        with pytest.raises(batch.LoadRefused) as refused:
+            batch.gated_publish(frame, path)
+        assert list(refused.value.found) == [name] and refused.value.found[name] > 0
+        assert storage.scan_table(spark, path).count() == 50
+    assert batch.gated_publish(rows.limit(20), path).count() == storage.scan_table(spark, path).count() == 20
+
+
+def test_a_write_that_fails_midway_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    storage.publish_table(spark.range(5), path)
+    broken = spark.range(100, numPartitions=8).select(F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        storage.publish_table(broken, path)
+    assert storage.scan_table(spark, path).count() == 5
+    for n in (7, 8, 9):
+        storage.publish_table(spark.range(n), path)
+        assert storage.scan_table(spark, path).count() == n
+    beside = [f for f in os.listdir(tmp_path) if f.startswith("t.")]
+    assert len(beside) == 1 and beside[0].startswith("t.old-")
+    os.rename(path, f"{path}.lost")  # a swap cut short after its first step
+    assert storage.scan_table(spark, path).count() == 8
+
+
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_samples_order_only_what_lies_below_a_cutoff(spark, n):
+    df = spark.range(70000, numPartitions=500).withColumnRenamed("id", "unique_key")
+    place = profiling.sample_order("unique_key", 42)
+    expected = [r.unique_key for r in df.orderBy(place, "unique_key").limit(n).collect()]
+    assert [r.unique_key for r in profiling.first_by_hash(df, n).collect()] == expected
+    cut = profiling._hash_cutoff(df.select(place.alias("place")), n)
+    assert n <= df.where(F.substring(place, 1, len(cut)) <= cut).count() <= 2 * n
+    few = spark.createDataFrame([(None,), (3,), (3,), (1,)], "unique_key long")
+    assert profiling.first_by_hash(few, 9).count() == 4 and profiling.first_by_hash(few, 1).first().unique_key is None

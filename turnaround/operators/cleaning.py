@@ -102,13 +102,10 @@ def zip_and_text(raw: DataFrame) -> DataFrame:
     )
 
 
-def constraint_violations(
+def constraint_checks(
     df: DataFrame, table: T.StructType = schema.RAW_SCHEMA, limits: dict[str, int] = schema.TEXT_LIMITS
-) -> DataFrame:
-    """Values a typed table would refuse, per column: text too long, number that does not fit.
-
-    One pass: every column's failures are counted in one aggregate and turned into rows after it.
-    """
+) -> dict[str, Column]:
+    """Per column whether a typed table would refuse its value: text too long, number that does not fit."""
     checks = {}
     for field in table.fields:
         if field.name not in df.columns:
@@ -118,6 +115,17 @@ def constraint_violations(
             checks[field.name] = F.length(c) > limits[field.name]
         elif not isinstance(field.dataType, T.StringType):
             checks[field.name] = c.isNotNull() & c.try_cast(field.dataType.simpleString()).isNull()
+    return checks
+
+
+def constraint_violations(
+    df: DataFrame, table: T.StructType = schema.RAW_SCHEMA, limits: dict[str, int] = schema.TEXT_LIMITS
+) -> DataFrame:
+    """Values a typed table would refuse, per column.
+
+    One pass: every column's failures are counted in one aggregate and turned into rows after it.
+    """
+    checks = constraint_checks(df, table, limits)
     counts = df.agg(*[F.count_if(bad).alias(name) for name, bad in checks.items()])
     return counts.unpivot([], list(checks), "column_name", "violations")
 

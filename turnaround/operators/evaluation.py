@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnaround import schema
-from turnaround.operators.findings import write_document
-from turnaround.sources.storage import materialize
+from turnaround.operators.findings import publish_document
+from turnaround.sources.storage import current, materialize
 
 METRICS = ["r2", "rmse_log", "mae_log", "mae_hours", "rmse_hours"]
 
@@ -111,21 +111,20 @@ METRICS_SCHEMA = T.StructType(
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """A metrics document as tidy rows `(stage, model, metric, value)`."""
-    document = spark.read.schema(METRICS_SCHEMA).json(path, multiLine=True)
+    document = spark.read.schema(METRICS_SCHEMA).json(current(spark, path), multiLine=True)
     return flatten_metrics(document)
 
 
 def update_metrics(spark: SparkSession, path: str, update: DataFrame) -> DataFrame:
     """Read the document at `path`, merge tidy rows into it and write it back; the tidy rows it now has.
 
-    Row count and best model stay as they are. The merged document is stored before its own path is
-    overwritten.
+    Row count and best model stay as they are. A reader sees the old or the new document, whole.
     """
-    document = spark.read.schema(METRICS_SCHEMA).json(path, multiLine=True)
+    document = spark.read.schema(METRICS_SCHEMA).json(current(spark, path), multiLine=True)
     kept = document.select("rows", "best_model").first()
     merged = merge_metrics(flatten_metrics(document), update)
     stored = materialize(metrics_document(merged, kept["rows"], kept["best_model"]), "metrics")
-    write_document(stored, path)
+    publish_document(stored, path)
     return read_metrics(spark, path)
 
 

@@ -11,7 +11,7 @@ from turnaround.functions.numbers import round_half_up, share
 from turnaround.functions.text import format_duration, format_percent, title_label
 from turnaround.operators.cleaning import keep_valid
 from turnaround.operators.quantiles import count_values, medians
-from turnaround.sources.storage import materialize
+from turnaround.sources.storage import materialize, publish
 
 
 def findings_base(requests: DataFrame, **window) -> DataFrame:
@@ -193,6 +193,11 @@ def write_document(document: DataFrame, path: str) -> None:
     as_json(document, pretty=True).coalesce(1).write.mode("overwrite").text(path)
 
 
+def publish_document(document: DataFrame, path: str) -> None:
+    """Publish a one-row document as one JSON file: readers see the old one until the new one is whole."""
+    publish(document.sparkSession, path, as_json(document, pretty=True).coalesce(1).write.text)
+
+
 def comparison(overall: DataFrame, alike: DataFrame, shares: DataFrame, slowest_first: bool = True) -> DataFrame:
     """Per label: median of all requests, median like for like and the agency's share, as texts.
 

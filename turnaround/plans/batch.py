@@ -3,27 +3,70 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from turnaround.operators import cleaning, evaluation, features, findings, modelling
 from turnaround.sources import exports, storage
 
 
-def load_raw(spark: SparkSession, csv_folder: str, table: str, multi_line: bool = False) -> DataFrame:
-    """CSV export to the raw table (full reload)."""
-    storage.write_table(exports.conform_raw(exports.read_export(spark, csv_folder, multi_line)), table)
-    return storage.scan_table(spark, table)
+class LoadRefused(ValueError):
+    """A load that was written but not published; `found` says why, by name and count."""
+
+    def __init__(self, found: dict[str, int]):
+        super().__init__(", ".join(f"{name}: {n}" for name, n in found.items()))
+        self.found = found
+
+
+def load_raw(
+    spark: SparkSession, csv_folder: str, table: str, multi_line: bool = False, most_broken: int | None = None
+) -> DataFrame:
+    """CSV export to the raw table (full reload); broken records go to `<table>_quarantine`.
+
+    The new version is published only if it keeps the table's rules: see `gated_publish`. With
+    `most_broken` a load with more broken records is refused too.
+    """
+    whole, broken = exports.split_broken(exports.read_export(spark, csv_folder, multi_line))
+    quarantine = storage.publish_table(broken, f"{table}_quarantine")
+    if most_broken is not None and (n := quarantine.count()) > most_broken:
+        raise LoadRefused({"broken records": n})
+    return gated_publish(exports.conform_raw(whole), table)
+
+
+def gated_publish(df: DataFrame, table: str) -> DataFrame:
+    """Publishes a raw table unless keys are null or repeated or values break a column's limit.
+
+    Rows, null keys and values over their limits are counted by the write itself; repeated keys by a
+    scan of the written key column. A refused version is never seen by readers, who keep the old one.
+    """
+    checks = cleaning.constraint_checks(df)
+    seen = Observation("load")
+    counted = df.observe(
+        seen, F.count("*").alias("rows"), F.count_if(F.col("unique_key").isNull()).alias("null keys"),
+        *[F.count_if(bad).alias(f"limit of {name}") for name, bad in checks.items()],
+    )
+
+    def write(folder: str) -> None:
+        counted.write.parquet(folder)
+        found = {name: n for name, n in seen.get.items() if name != "rows" and n}
+        written = df.sparkSession.read.parquet(folder)
+        repeated = cleaning.duplicate_keys(written.select("unique_key")).where("unique_key is not null").count()
+        if repeated:
+            found["repeated keys"] = repeated
+        if found:
+            raise LoadRefused(found)
+
+    return df.sparkSession.read.parquet(storage.publish(df.sparkSession, table, write))
 
 
 def build_tables(raw: DataFrame, folder: str, **window) -> dict[str, DataFrame]:
     """Raw to clean, open and feature tables."""
     spark = raw.sparkSession
     paths = {name: f"{folder}/{name}" for name in ("requests_clean", "requests_open", "request_features")}
-    storage.write_table(cleaning.clean_requests(raw, **window), paths["requests_clean"])
-    storage.write_table(cleaning.open_requests(raw), paths["requests_open"])
-    clean = storage.scan_table(spark, paths["requests_clean"])
+    clean = storage.publish_table(cleaning.clean_requests(raw, **window), paths["requests_clean"])
+    storage.publish_table(cleaning.open_requests(raw), paths["requests_open"])
     built = features.impute_median(features.request_features(clean))
-    storage.write_table(built, paths["request_features"])
+    storage.publish_table(built, paths["request_features"])
     return {name: storage.scan_table(spark, path) for name, path in paths.items()}
 
 
@@ -32,10 +75,10 @@ def train(feature_table: DataFrame, folder: str, candidates: dict[str, Estimator
     inputs = modelling.model_inputs(feature_table)
     result = modelling.train_best(inputs, candidates or modelling.default_candidates())
     modelling.save_model(f"{folder}/model", result["model"], result["features"], result["encoding"])
-    storage.write_table(result["predictions"], f"{folder}/request_predictions")
+    storage.publish_table(result["predictions"], f"{folder}/request_predictions")
     metrics = storage.materialize(result["metrics"], "metrics")
     document = evaluation.metrics_document(metrics, inputs.count(), result["best"])
-    findings.write_document(document, f"{folder}/model_metrics")
+    findings.publish_document(document, f"{folder}/model_metrics")
     return {**result, "metrics": metrics}
 
 
@@ -55,7 +98,7 @@ def publish_findings(short_requests: DataFrame, path: str, **window) -> DataFram
     """The findings document of an export's seven columns, written as JSON."""
     base = findings.findings_base(short_requests, **window)
     document = storage.materialize(findings.findings_document(base), "findings")
-    findings.write_document(document, path)
+    findings.publish_document(document, path)
     return document
 
 

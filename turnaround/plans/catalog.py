@@ -25,6 +25,7 @@ from turnaround.operators import (
     reshape,
     scoring,
 )
+from turnaround.plans import batch
 from turnaround.sources import exports, fixture, storage
 from turnaround.streaming import scoring as stream
 
@@ -241,6 +242,37 @@ def constraint_violations(spark, sf_dir):
     return cleaning.constraint_violations(rows)
 
 
+@query
+def quarantined_records(spark, sf_dir):
+    """Events as CSV lines, every 89th cut short: what is set apart, by the key each begins with."""
+    path = storage.new_path(spark, "broken-export")
+    key = F.col("event_id").cast("string")
+    line = F.concat(key, F.when(F.col("event_id") % 89 == 0, "").otherwise(F.lit(",NYPD,Noise")))
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(line.alias("line"))
+    lines.write.text(f"{path}/lines")
+    header = ["Unique Key", "Agency", "Problem (formerly Complaint Type)"]
+    broken = exports.read_lines(spark, [f"{path}/lines"], header, skip_header=False)
+    _, apart = exports.split_broken(broken)
+    return apart.select(F.col("record").cast("long").alias("unique_key"))
+
+
+@query
+def gated_load(spark, sf_dir):
+    """A load that keeps the rules is seen; one with repeated keys and over-long text is refused, with counts."""
+    path = storage.new_path(spark, "gated-load")
+    rows = typed(spark, sf_dir, place=False)
+    kept = batch.gated_publish(rows, path).count()
+    key = F.col("unique_key")
+    wide = rows.withColumn("agency", F.when(key % 83 == 0, F.repeat(F.lit("x"), 200)).otherwise(F.col("agency")))
+    try:
+        batch.gated_publish(wide.unionByName(wide.where(key % 97 == 0)), path)
+        found = {}
+    except batch.LoadRefused as refused:
+        found = refused.found
+    table = [("published rows", storage.scan_table(spark, path).count()), ("loaded rows", kept), *found.items()]
+    return spark.createDataFrame(table, "name string, rows long")
+
+
 @query
 def duplicate_keys(spark, sf_dir):
     rows = typed(spark, sf_dir, place=False).select("unique_key")

@@ -573,6 +573,10 @@ def statements() -> dict[str, str]:
             _export, _present,
         ),
         "constraint_violations": with_(_violations),
+        "quarantined_records": "SELECT event_id AS unique_key FROM events WHERE event_id % 89 = 0",
+        "gated_load": """SELECT 'published rows' AS name, count(*) AS rows FROM events UNION ALL SELECT 'loaded rows', count(*) FROM events
+            UNION ALL SELECT 'repeated keys', count(*) FROM events WHERE event_id % 97 = 0
+            UNION ALL SELECT 'limit of agency', count(*) + count(*) FILTER (event_id % 97 = 0) FROM events WHERE event_id % 83 = 0""",
         "duplicate_keys": "SELECT event_id AS unique_key, CAST(2 AS BIGINT) AS rows FROM events WHERE event_id % 97 = 0",
         "write_table": with_(_clean_all),
         "verify_load": with_(f"SELECT {_SAMPLED}, (SELECT count(*) FROM typed) AS table_rows FROM typed ORDER BY unique_key LIMIT 3"),

@@ -13,6 +13,7 @@ from turnaround import schema
 from turnaround.functions.dates import parse_timestamp
 from turnaround.functions.numbers import to_double, to_whole
 from turnaround.functions.text import null_if_na, standardize, zip_text
+from turnaround.sources.storage import materialize
 
 #: Holds the text of records that do not fit their file's header.
 CORRUPT = "_corrupt_record"
@@ -26,7 +27,8 @@ def read_export(spark: SparkSession, folder: str, multi_line: bool = False) -> D
 
     `multi_line` says that quoted values may hold line breaks: each file is then read by one task.
     Without it large files are split. A record that does not fit its header, such as the parts of one
-    that runs over a line end, is kept and shown whole in the column `_corrupt_record`.
+    that runs over a line end, is kept and shown whole in the column `_corrupt_record`, whichever
+    columns are read. (Spark refuses to read that column alone; `split_broken` stores the records.)
     """
     groups: dict[str, list[str]] = {}
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
@@ -36,14 +38,31 @@ def read_export(spark: SparkSession, folder: str, multi_line: bool = False) -> D
         raise FileNotFoundError(f"no CSV file in {folder}")
     read = []
     for line, paths in groups.items():
-        names = next(csv.reader([line]), [])
-        kind = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-        options = {"header": True, "escape": '"', "multiLine": multi_line, "columnNameOfCorruptRecord": CORRUPT}
-        read.append(spark.read.options(**options).schema(kind).csv(paths))
+        read.append(read_lines(spark, paths, next(csv.reader([line]), []), multi_line))
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
     return normalize_na(whole.select(*[F.col(f"`{c}`") for c in whole.columns if c != CORRUPT], CORRUPT))
 
 
+def read_lines(
+    spark: SparkSession, paths: list[str], header: list[str], multi_line: bool = False, skip_header: bool = True
+) -> DataFrame:
+    """CSV files under one header as text columns, and `_corrupt_record`. All fields are parsed, so that
+    a record is marked by its fields, not by the columns a query happens to need."""
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in [*header, CORRUPT]])
+    options = {"escape": '"', "multiLine": multi_line, "columnNameOfCorruptRecord": CORRUPT, "columnPruning": False}
+    return spark.read.options(header=skip_header, **options).schema(kind).csv(paths)
+
+
+def split_broken(export: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of `read_export` that fit their header, and the text of those that do not, `(record)`.
+
+    The export is stored once, so both come from one reading of the files.
+    """
+    stored = materialize(export, "export")
+    broken = stored.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
+    return stored.where(F.col(CORRUPT).isNull()).drop(CORRUPT), broken
+
+
 def _first_line(spark: SparkSession, path: str) -> str:
     """A file's header line, read by the driver like any other file metadata."""
     jvm = spark._jvm
@@ -150,8 +169,12 @@ FINDINGS_COLUMNS = {
 
 
 def read_findings_export(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
-    """The seven columns of the findings; the CSV reader parses only those."""
-    return findings_columns(read_export(spark, folder, multi_line))
+    """The seven columns of the findings, of the records that fit their header."""
+    export = read_export(spark, folder, multi_line)
+    first = F.col(f"`{export.columns[0]}`")
+    # Always true; it keeps a second column in the scan, which the mark alone may not make up.
+    second = first.isNull() | (F.length(first) >= 0)
+    return findings_columns(export.where(F.col(CORRUPT).isNull() & second))
 
 
 def findings_columns(export: DataFrame) -> DataFrame:

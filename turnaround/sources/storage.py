@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +45,54 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 def scan_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A Parquet table, see `current`."""
+    return spark.read.parquet(current(spark, path))
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """Replaces the folder `path` by one that `write` fills beside it, only once it is whole.
+
+    If `write` fails or the driver dies, `path` stays as it was. The swap is two renames: the old folder
+    moves aside, where it stays until the next swap for readers that have begun, and the new one takes
+    its place; between the two `current` points to the old one. (Object stores copy on rename.)
+    """
+    files, folder = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+    mark = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    staged = f"{path}.staged-{mark}"
+    try:
+        write(staged)
+    except BaseException:
+        files.delete(folder(staged), True)
+        raise
+    before = _aside(spark, path)
+    if files.exists(folder(path)) and not files.rename(folder(path), folder(f"{path}.old-{mark}")):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(folder(staged), folder(path)):
+        raise OSError(f"cannot move {staged} to {path}")
+    for old in before:
+        files.delete(folder(old), True)
+    return path
+
+
+def publish_table(df: DataFrame, path: str) -> DataFrame:
+    """Full reload of a Parquet table that a failure leaves as it was; the new table."""
+    return df.sparkSession.read.parquet(publish(df.sparkSession, path, df.write.parquet))
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder to read for `path`: itself, or what a swap that was cut short has moved aside."""
+    if _files(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return path
+    return max(_aside(spark, path), default=path)
+
+
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _aside(spark: SparkSession, path: str) -> list[str]:
+    found = _files(spark, path).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-*"))
+    return [s.getPath().toString() for s in found or []]
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, batch_rows: int = 5000, **options: str) -> None:
