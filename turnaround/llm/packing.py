@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 import zlib
@@ -104,6 +105,18 @@ class Encoder:
                 self.parts.update(zip(group, self._ids(group)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # Words and ids hold no cycles; a collector that walks the lists of millions finds nothing.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            unique = list(dict.fromkeys(texts))  # copies are encoded once
+            ids = dict(zip(unique, self._encode(unique)))
+            return [ids[t] for t in texts]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         odd = {i: self._ids([t])[0] for i, t in enumerate(texts) if any(c in t for c in _SEPARATORS)}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         get = self.cache.get
