@@ -1,16 +1,17 @@
 """Web archives in ZIP packages: WARC records written as stored members and read back in place.
 
 A package holds `archive/data.warc.gz` (every record its own gzip member) and `indexes/index.cdxj` (a
-line per record: record number, offset and length in the member). Members are stored, not
-compressed, so a record is one range of the package. Files are reached through the file system that
+line per record: its file, offset and length in the member). Members are stored, not
+compressed, so a record is one range of the package. Packages made elsewhere may hold any number of
+archives and indexes under these two folders. Files are reached through the file system that
 the folder's address names, from executors, and listed in a stored table of those that were committed.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import io
 import json
 import struct
 import uuid
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from turnaround.llm import common
 from turnaround.sources.storage import materialize, new_path
 
+ARCHIVES, INDEXES = "archive/", "indexes/"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Bytes read at once from an archive that no index covers.
+CHUNK = 1 << 20
 #: A package is closed when its records reach so many bytes, or so many records.
 PACKAGE_BYTES = 64 << 20
 PACKAGE_RECORDS = 100_000
@@ -123,7 +127,8 @@ class _Package:
     def add(self, content: bytes) -> None:
         packed = _gzip(content)
         self.data.write(packed)
-        self.lines.append(json.dumps({"record": len(self.lines), "offset": self.size, "length": len(packed)}))
+        entry = {"record": len(self.lines), "filename": DATA.removeprefix(ARCHIVES), "offset": self.size, "length": len(packed)}
+        self.lines.append(json.dumps(entry))
         self.size += len(packed)
 
     def close(self, folder: str) -> pa.RecordBatch:
@@ -224,33 +229,81 @@ def parse(data: bytes) -> dict:
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def index_entries(source: Ranges, members: dict[str, tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """`(archive member, offset, length)` of every record that an index under `indexes/` names. A line
+    may have a sort key before its JSON; one without a file name means the package's only archive.
+    Indexes may be gzip files; other files than indexes of records (`.cdx`, `.cdxj`) are passed over."""
+    archives = [n for n in members if n.startswith(ARCHIVES) and not n.endswith("/")]
+    for name in sorted(members):
+        if not name.startswith(INDEXES) or not name.removesuffix(".gz").endswith((".cdx", ".cdxj")):
+            continue
+        data = source.read(*stored(members, name))
+        for line in (gzip.decompress(data) if name.endswith(".gz") else data).decode().splitlines():
+            if "{" not in line:
+                continue
+            entry = json.loads(line[line.index("{") :])
+            member = ARCHIVES + entry["filename"].removeprefix(ARCHIVES) if "filename" in entry else None
+            if member is None and len(archives) == 1:
+                member = archives[0]
+            if member not in members:
+                raise ValueError(f"{name}: a record lies in {entry.get('filename', 'no named archive')}, which the package lacks")
+            yield member, int(entry["offset"]), int(entry["length"])
+
+
+def walk(source: Ranges, at: int, size: int) -> Iterator[bytes]:
+    """The records of an archive in order, a gzip member each, read in chunks."""
+    unpack, parts, rest, end = zlib.decompressobj(31), [], b"", at + size
+    while rest or at < end:
+        if not rest:
+            rest = source.read(at, min(CHUNK, end - at))
+            at += len(rest)
+        parts.append(unpack.decompress(rest))
+        rest = unpack.unused_data
+        if unpack.eof:
+            yield b"".join(parts)
+            unpack, parts = zlib.decompressobj(31), []
+    if parts:
+        raise ValueError("the archive ends within a record")
+
+
+def records(source: Ranges) -> Iterator[bytes]:
+    """Every record of a package, once: those that indexes name by their ranges, then the archives that
+    no index names from end to end. A package without archives has none."""
+    members, seen = directory(source), set()
+    for member, offset, length in dict.fromkeys(index_entries(source, members)):
+        at, size = stored(members, member)
+        if offset + length > size:
+            raise ValueError(f"{member}: a record at {offset}+{length} lies outside its {size} bytes")
+        seen.add(member)
+        yield zlib.decompress(source.read(at + offset, length), 31)
+    for member in sorted(members):
+        if member.startswith(ARCHIVES) and member.endswith(".warc.gz") and member not in seen:
+            yield from walk(source, *stored(members, member))
+
+
 def read(packages: DataFrame, with_html: bool = False) -> DataFrame:
-    """Every record of the listed packages (`path`). Only directories, indexes and the records' own
-    ranges are read; a package is a task's unit and bounded in size."""
+    """Every record of the listed packages (`path`), a task per package.
+
+    Only directories, indexes and the records' own ranges are read; archives that no index names are
+    read from end to end. The list is read twice, so store it first. An empty list has no records.
+    """
     names = [x.split()[0] for x in RECORD.split(", ")] + ["html"] * with_html
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in (p for b in batches for p in b.column("path").to_pylist()):
             system, name = _open(path)
             with system.open_input_file(name) as file:
-                source = Ranges(file, file.size())
-                members = directory(source)
-                index = source.read(*stored(members, INDEX)).decode()
-                at, size = stored(members, DATA)
                 rows = []
-                for line in io.StringIO(index):
-                    entry = json.loads(line)
-                    if entry["offset"] + entry["length"] > size:
-                        raise ValueError(f"{path}: record {entry['record']} lies outside its member")
-                    data = source.read(at + entry["offset"], entry["length"])
-                    rows.append(parse(zlib.decompress(data, 31)))
+                for data in records(Ranges(file, file.size())):
+                    rows.append(parse(data))
                     if len(rows) == common.BATCH_ROWS:
                         yield _batch(rows, names)
                         rows = []
                 if rows:
                     yield _batch(rows, names)
 
-    listed = packages.select("path").repartition(F.col("path"))
+    # Ranges of paths, as many as there are packages: adaptive execution leaves a stated number alone.
+    listed = packages.select("path").repartitionByRange(max(1, packages.count()), "path")
     return common.map_batches(listed, run, RECORD + ", html string" * with_html)
 
 
