@@ -1,5 +1,6 @@
 """Conversations, mixes, archives, vectors and the pipeline."""
 
+import gzip
 import json
 import struct
 import zipfile
@@ -14,6 +15,14 @@ from turnaround.llm import chat, mixing, neighbours, packing, warc
 from turnaround.sources import storage
 
 QUERIES = contract.queries()
+CLASHES = ["weight", "probability", "target", "row", "n", "draw", "margin_0", "__text", "__lang", "__terms", "__kept", "__topic",
+           "__tokens", "___x", "a.b"]
+
+
+@pytest.fixture(scope="module")
+def clashing_docs(odd_docs):
+    """The odd rows with columns named as operators name theirs."""
+    return odd_docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce("doc_id", F.lit(0)).cast("string")) for c in CLASHES})
 
 
 # --- Chat -----------------------------------------------------------------------------------------
@@ -70,13 +79,23 @@ def test_calibrated_probabilities_keep_the_share(tokens, share):
     assert drawn == pytest.approx(min(share, 1.0), abs=0.03)
 
 
-def test_mix_of_odd_rows(spark, odd_docs, no_docs):
-    docs = corpus_pipeline.topic(odd_docs)
-    rows = mixing.mix(docs.drop("kept"), {"source": 0.5, "lang": 0.5}, 1.0, tokens="__tokens").collect()
-    assert len(rows) == 9 and {r.kept for r in rows if not r["__tokens"]} == {False}
-    assert all(r.kept for r in rows if r["__tokens"])
-    empty = corpus_pipeline.topic(no_docs).drop("kept")
-    assert mixing.mix(empty, {"source": 0.5, "lang": 0.5}, 0.5, tokens="__tokens").count() == 0
+def test_mix_of_odd_rows(odd_docs, no_docs):
+    words = mixing.word_count(F.col("text"))
+    rows = mixing.mix(odd_docs, {"source": 0.5, "lang": 0.5}, 1.0, tokens=words).collect()
+    assert len(rows) == 9 and {r.kept for r in rows if not (r.text or "").strip()} == {False}
+    assert all(r.kept for r in rows if (r.text or "").strip())
+    assert mixing.mix(no_docs, {"source": 0.5, "lang": 0.5}, 0.5, tokens=words).count() == 0
+
+
+def test_clashing_names_do_not_change_a_mix(odd_docs, clashing_docs):
+    words, form = mixing.word_count(F.col("text")), {"topic": mixing.form(F.col("text"))}
+    drawn = mixing.sample(clashing_docs, {"source": 1, "weight": 0, "topic": 0.8}, 0.6, tokens=words, margins=form)
+    assert drawn.schema == clashing_docs.schema
+    plain, odd = [
+        mixing.mix(d, {"source": 1, "topic": 0.8}, 0.6, tokens=words, margins=form).select("doc_id", *mixing.ADDED).collect()
+        for d in (odd_docs, clashing_docs)
+    ]
+    assert sorted(map(str, plain)) == sorted(map(str, odd))
 
 
 # --- Archives -------------------------------------------------------------------------------------
@@ -101,6 +120,43 @@ def test_records_come_back(spark, pages):
     assert warc.write(pages.limit(0)).count() == 0
 
 
+def test_a_package_is_a_task(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PACKAGE_RECORDS", 1)
+    listed = warc.write(pages, str(tmp_path / "out"))
+    tasks = warc.read(listed).select(F.spark_partition_id().alias("task")).collect()
+    assert listed.count() == 11 and len({r.task for r in tasks}) == 11
+
+
+def test_all_archives_and_indexes_of_a_package_are_read(spark, tmp_path):
+    packed = [warc._gzip(warc.record(i, f"u{i}", b"p" * i * 1000, None)) for i in range(9)]
+    line = json.dumps({"filename": "one.warc.gz", "offset": "0", "length": str(len(packed[0]))})
+    second = json.dumps({"filename": "one.warc.gz", "offset": len(packed[0]), "length": len(packed[1])})
+    third = json.dumps({"filename": "two.warc.gz", "offset": 0, "length": len(packed[2])})
+    members = {
+        "archive/one.warc.gz": packed[0] + packed[1], "archive/two.warc.gz": packed[2],
+        "archive/unnamed.warc.gz": b"".join(packed[3:]), "datapackage.json": b"{}", "indexes/index.idx": b"!meta",
+        "indexes/a.cdxj": f"com,u)/ 2026 {line}\ncom,u)/1 2026 {second}\n{line}\n".encode(),
+        "indexes/b.cdx.gz": gzip.compress(third.encode()),
+    }
+    with zipfile.ZipFile(tmp_path / "other.zip", "w", zipfile.ZIP_STORED) as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    listed = spark.createDataFrame([(str(tmp_path / "other.zip"),)], "path string")
+    found = warc.read(listed).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in found) == [(i, i * 1000) for i in range(9)]
+    assert warc.read(listed.limit(0)).count() == 0
+
+
+def test_chunks_may_end_anywhere(monkeypatch):
+    plain = [warc.record(i, "u", b"x" * i, None) for i in range(5)]
+    data = b"".join(map(warc._gzip, plain))
+    for chunk in (1, 7, 100, len(data)):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        assert list(warc.walk(warc.Ranges(Memory(data), len(data)), 0, len(data))) == plain
+    with pytest.raises(ValueError, match="within a record"):
+        list(warc.walk(warc.Ranges(Memory(data[:-9]), len(data) - 9), 0, len(data) - 9))
+
+
 class Memory:
     def __init__(self, data):
         self.data, self.at = data, 0
@@ -222,10 +278,18 @@ def test_stages_keep_the_columns_and_take_effect(spark, sf_dir):
     assert sorted(whole.select("doc_id", "start", "ids_crc32").collect()) == sorted(packed.select("doc_id", "start", "ids_crc32").collect())
 
 
-def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs):
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd_docs, clashing_docs, no_docs):
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, odd_docs, sf_dir)
-        assert out.count() >= 0 and (name == "pack_windows" or out.columns == odd_docs.columns), name
         assert stage(spark, no_docs, sf_dir).count() == 0, name
+        out, clashing = stage(spark, odd_docs, sf_dir), stage(spark, clashing_docs, sf_dir)
+        if name == "pack_windows":
+            assert out.columns == clashing.columns and out.count() == clashing.count()
+            continue
+        assert [(f.name, f.dataType) for f in clashing.schema] == [(f.name, f.dataType) for f in clashing_docs.schema], name
+        rows = [r.asDict() for r in clashing.collect()]
+        for r in rows:
+            assert {c: f"{c} of {r['doc_id'] or 0}" for c in CLASHES} == {c: r[c] for c in CLASHES}, name
+        plain = [r.asDict() for r in out.collect()]
+        assert sorted(str(r) for r in plain) == sorted(str({c: r[c] for c in odd_docs.columns}) for r in rows), name
     left = corpus_pipeline.minhash_near_dedup(spark, odd_docs, sf_dir)
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 4, 6, 7]

@@ -24,10 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """`mapInArrow` with bounded batches; Python workers import the library from where the driver has it."""
+    """`mapInArrow` with bounded batches; Python workers import the library from where the driver has it.
+    Columns with a dot in their names reach `fn` under other names, in their places."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
-    return df.mapInArrow(fn, schema)
+    # The call resolves columns by name and reads a dot as field access.
+    free = free_prefix(df.columns)
+    return df.toDF(*[f"{free}{i}" if "." in c else c for i, c in enumerate(df.columns)]).mapInArrow(fn, schema)
+
+
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column begins with: names behind them clash with none of `columns`."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
 
 
 def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnaround.operators.joins import quoted
 from turnaround.sources.storage import materialize
 
 #: Rounds of fitting; a round rakes to every margin once.
@@ -15,12 +16,24 @@ ROUNDS = 10
 #: Words are runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 UNKNOWN = "unknown"
+#: The registered mix: exponents that temper present shares of tokens, and the share of all tokens that stays.
+EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+SHARE = 0.7
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def form(text: Column) -> Column:
+    """The form of a text, which stands for its topic where documents name none."""
+    words = word_count(text)
+    marks = F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long")
+    return (
+        F.when(marks * 10 > words, "marked").when(words < 100, "brief").when(words >= 1000, "long").otherwise("prose")
+    )
+
+
 def cells(docs: DataFrame, by: list[str], tokens: str = "n_tokens") -> DataFrame:
     """Tokens per combination of the margins' values: documents are added up before anything is fitted."""
     return docs.groupBy(*by).agg(F.sum(tokens).cast("double").alias("tokens")).where("tokens > 0")
@@ -81,25 +94,56 @@ def draw(key: Column, salt: str = "mix") -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+ADDED = ("weight", "probability", "kept")
+
+
+def _weighted(
+    docs: DataFrame, targets: dict[str, DataFrame | float], share: float, key: str, tokens: str | Column,
+    rounds: int, margins: dict[str, Column] | None,
+) -> DataFrame:
+    """`(row, weight, probability, kept)`: every row of `docs`, whole and apart from what is computed."""
+    margins = margins or {}
+    by = {m: f"margin_{i}" for i, m in enumerate(targets)}
+    named = docs.select(
+        F.struct(*map(quoted, docs.columns)).alias("row"), draw(quoted(key)).alias("draw"),
+        (quoted(tokens) if isinstance(tokens, str) else tokens).alias("n"),
+        *[F.coalesce((margins[m] if m in margins else quoted(m)).cast("string"), F.lit(UNKNOWN)).alias(c) for m, c in by.items()],
+    )
+    counted = materialize(cells(named, list(by.values()), "n"), "mix-tokens")
+    goals = {
+        by[m]: t.select(quoted(m).alias(by[m]), "target") if isinstance(t, DataFrame) else tempered(counted, by[m], float(t))
+        for m, t in targets.items()
+    }
+    fitted = calibrate(rake(counted, goals, rounds), share).select(*by.values(), "weight", "probability")
+    has = F.col("n") > 0
+    added = {c: F.when(has, F.coalesce(c, F.lit(0.0))).otherwise(0.0) for c in ("weight", "probability")}
+    joined = named.join(fitted, list(by.values()), "left").withColumns(added)
+    return joined.select("row", "weight", "probability", (F.col("draw") < F.col("probability")).alias("kept"))
+
+
 def mix(
     docs: DataFrame, targets: dict[str, DataFrame | float], share: float, key: str = "doc_id",
-    tokens: str = "n_tokens", rounds: int = ROUNDS,
+    tokens: str | Column = "n_tokens", rounds: int = ROUNDS, margins: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Every row of `docs` with `weight` (of its cell), `probability` and `kept`.
 
-    `targets` names a margin column each, with its shares (`margin`, `target`) or the exponent that
-    tempers its present shares. A null margin is the value `unknown`. Rows without tokens (null or
-    empty texts) are in no mix: weight and probability 0, not kept. A row is kept if the number its
-    key fixes lies below its probability, so repeated rows share a fate and a rerun draws the same;
-    rows with a null key share one number. An empty table gives an empty result.
+    `targets` names a margin each, with its shares (`margin`, `target`) or the exponent that tempers its
+    present shares. A margin is the column of its name, or the expression `margins` gives for it. A null
+    margin is the value `unknown`. Rows without tokens (null or empty texts) are in no mix: weight and
+    probability 0, not kept. A row is kept if the number its key fixes lies below its probability, so
+    repeated rows share a fate and a rerun draws the same; rows with a null key share one number. An
+    empty table gives an empty result. Columns of `docs` named like the three added ones are read where
+    they are margins or tokens, but not returned; `sample` returns rows as they came.
     """
-    named = docs.withColumns({m: F.coalesce(F.col(m).cast("string"), F.lit(UNKNOWN)) for m in targets})
-    counted = materialize(cells(named, list(targets), tokens), "mix-tokens")
-    goals = {m: tempered(counted, m, t) if isinstance(t, float) else t for m, t in targets.items()}
-    fitted = calibrate(rake(counted, goals, rounds), share).select(*targets, "weight", "probability")
-    joined = named.join(fitted, list(targets), "left")
-    has = F.col(tokens) > 0
-    joined = joined.withColumns(
-        {c: F.when(has, F.coalesce(c, F.lit(0.0))).otherwise(0.0) for c in ("weight", "probability")}
-    )
-    return joined.withColumn("kept", draw(F.col(key)) < F.col("probability"))
+    weighted = _weighted(docs, targets, share, key, tokens, rounds, margins)
+    own = [c for c in docs.columns if c.lower() not in ADDED]
+    return weighted.select(*[F.col("row")[c].alias(c) for c in own], *ADDED)
+
+
+def sample(
+    docs: DataFrame, targets: dict[str, DataFrame | float], share: float, key: str = "doc_id",
+    tokens: str | Column = "n_tokens", rounds: int = ROUNDS, margins: dict[str, Column] | None = None,
+) -> DataFrame:
+    """The rows of `docs` that `mix` keeps, with the columns they came with, whatever their names."""
+    kept = _weighted(docs, targets, share, key, tokens, rounds, margins).where("kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnaround.llm import common
+from turnaround.operators.joins import quoted
 from turnaround.sources.storage import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -279,24 +280,28 @@ def scan(
     rows like any other, taken whole; an empty table gives an empty result; no other column is read.
     """
     carried = keep if keep is not None else ["doc_id"]
+    own = common.free_prefix([*carried, *(prefix + n for n in SPANS)])
+    text_name, terms_name = f"{own}text", f"{own}terms"
     wanted = list(_chunks(disclosing_terms(docs, threshold, min_contexts))) or [(frozenset(), "none")]
     order = {k: i for i, k in enumerate((*KINDS, TERM))}
     sc = docs.sparkSession.sparkContext
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema]
+    fields = [docs.select(*map(quoted, carried)).schema.toDDL()]
     added = ", ".join(f"`{prefix}{n}` {t}" for n, t in SPANS.items())
-    out = docs.select(*carried, F.coalesce("text", F.lit("")).alias("__text"), F.lit("").alias("__terms"))
+    out = docs.select(
+        *map(quoted, carried), F.coalesce("text", F.lit("")).alias(text_name), F.lit("").alias(terms_name)
+    )
     for i, (terms, _) in enumerate(wanted):
         shared: Broadcast = sc.broadcast(terms)
         last = i == len(wanted) - 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, known = batch.column("__text").to_pylist(), batch.column("__terms").to_pylist()
+                texts, known = batch.column(text_name).to_pylist(), batch.column(terms_name).to_pylist()
                 columns = [batch.column(j) for j in range(len(carried))]
                 found = [_read(k) + term_spans(t, shared.value) for t, k in zip(texts, known)]
                 if not last:
-                    columns += [batch.column("__text"), pa.array([_write(f) for f in found], pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, [*carried, "__text", "__terms"])
+                    columns += [batch.column(text_name), pa.array([_write(f) for f in found], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, [*carried, text_name, terms_name])
                     continue
                 base = [base_spans(t) for t in texts]
                 spans = [
@@ -313,7 +318,7 @@ def scan(
                 columns.append(pa.array([_write(s) for s in spans], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*carried, *(prefix + n for n in SPANS)])
 
-        schema = ", ".join(fields) + ", " + (added if last else "`__text` string, `__terms` string")
+        schema = ", ".join(fields) + ", " + (added if last else f"`{text_name}` string, `{terms_name}` string")
         out = common.map_batches(out if last else out, run, schema)
         if not last:
             out = materialize(out, "term-spans")

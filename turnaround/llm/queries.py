@@ -65,10 +65,10 @@ def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell's weight, its probability and whether it is drawn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    counted = corpus_pipeline.topic(docs).select(
-        "doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens")
+    counted = docs.select(
+        "doc_id", "source", "lang", mixing.form(F.col("text")).alias("topic"), mixing.word_count(F.col("text")).alias("n_tokens")
     )
-    mixed = mixing.mix(materialize(counted, "token-counts"), corpus_pipeline.MIX_EXPONENTS, corpus_pipeline.MIX_SHARE)
+    mixed = mixing.mix(materialize(counted, "token-counts"), mixing.EXPONENTS, mixing.SHARE)
     return mixed.select(
         "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"),
         F.round("probability", 6).alias("probability"), "kept",
@@ -194,7 +194,7 @@ WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_
 
 
 def mixing_sql() -> str:
-    exponents, share = corpus_pipeline.MIX_EXPONENTS, corpus_pipeline.MIX_SHARE
+    exponents, share = mixing.EXPONENTS, mixing.SHARE
     margins = list(exponents)
     names = ", ".join(margins)
     goals = ",\n".join(
