@@ -114,6 +114,35 @@ def test_stream_answers_each_request_once(spark, encoding, tmp_path, examples):
     assert answers["heat"].errors == "" and answers["heat"].predicted_hours is not None
 
 
+def test_a_batch_cut_short_is_played_again_in_its_place(spark, encoding, tmp_path, examples):
+    arriving, answers, refusals, state = (str(tmp_path / d) for d in ("in", "answers", "refusals", "state"))
+
+    def run():
+        requests = stream.read_requests(spark, arriving, examples.schema)
+        stream.start_publishing(
+            requests, modelling.baseline(), encoding, FEATURES, 34.3, answers, refusals, state
+        ).awaitTermination()
+        return [sorted(r["name"] for r in spark.read.parquet(d).collect()) for d in (answers, refusals)]
+
+    examples.where(F.col("name").isin("noise", "bad hour")).write.parquet(arriving)
+    assert run() == [["noise"], ["bad hour"]]
+    examples.where(F.col("name").isin("heat", "bad all")).write.mode("append").parquet(arriving)
+    # A batch that wrote its answers but died before its refusals, so that its commit is missing.
+    kept = stream.score_requests
+    try:
+        def broken(*args):
+            found, refused = kept(*args)
+            return found, refused.select(F.raise_error(F.lit("executor lost")).alias("errors"))
+        stream.score_requests = broken
+        with pytest.raises(Exception, match="executor lost"):
+            run()
+    finally:
+        stream.score_requests = kept
+    assert sorted(r["name"] for r in spark.read.parquet(answers).collect()) == ["heat", "noise"]
+    assert run() == [["heat", "noise"], ["bad all", "bad hour"]]
+    assert run() == [["heat", "noise"], ["bad all", "bad hour"]]
+
+
 def test_known_agencies(spark):
     df = spark.createDataFrame([("Boilers",), ("boilers",), (None,)], "problem_type string")
     assert [r.agency for r in scoring.lookup_agency(df).collect()] == ["DOB", "", ""]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from turnaround.operators.scoring import answer_requests
+from turnaround.operators.scoring import answer_requests, score_requests
 
 
 def read_requests(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -39,3 +39,36 @@ def start_scoring(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_publishing(
+    requests: DataFrame,
+    model: PipelineModel,
+    encoding: DataFrame,
+    features: list[str],
+    mae_hours: float,
+    answers: str,
+    refusals: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Answer everything available now into two tables, answers and refusals.
+
+    A batch is a version, the folder `batch=<id>` of either table. A batch that was cut short is played
+    again from the checkpoint and replaces its own folders, so each request ends up once, in one table;
+    files of a write that did not finish are in no table. Both tables have the column `batch`.
+    """
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for table, folder in zip(score_requests(batch, model, encoding, features, mae_hours), (answers, refusals)):
+                table.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return (
+        requests.writeStream.foreachBatch(publish)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
