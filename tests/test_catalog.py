@@ -4,7 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
-from turnaround.operators import findings, profiling, quantiles
+from turnaround.operators import analysis, findings, profiling, quantiles
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
@@ -27,7 +27,7 @@ def test_runs(spark, sf_dir, name):
 @pytest.mark.parametrize(
     "name",
     ["findings_overall", "resolution_stats", "profile_describe", "findings_by_problem", "borough_comparison",
-     "channel_comparison", "shared_scale", "profile_top_values", "reconcile_counts", "findings_json"],
+     "channel_comparison", "shared_scale", "profile_top_values", "reconcile_counts", "findings_json", "charts_of_one_scan"],
 )
 def test_one_scan_of_the_fact_table(spark, sf_dir, monkeypatch, name):
     plans, store = [], quantiles.materialize
@@ -36,7 +36,7 @@ def test_one_scan_of_the_fact_table(spark, sf_dir, monkeypatch, name):
         plans.append(df)
         return store(df, label)
 
-    for module in (quantiles, findings, profiling):
+    for module in (quantiles, findings, profiling, analysis):
         monkeypatch.setattr(module, "materialize", recorded)
     plans.append(QUERIES[name](spark, sf_dir))
     texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans]

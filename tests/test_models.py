@@ -96,8 +96,14 @@ def test_train_job(spark, planted, small, tmp_path):
     before = stored.count()
     merged = batch.train_small(wide, str(tmp_path), modelling.small_forest(trees=5, depth=6, min_leaf=20))
     assert evaluation.error_band(merged) > 0
+    first = {(r.stage, r.model, r.metric): r.value for r in merged.collect()}
     written = evaluation.read_metrics(spark, f"{tmp_path}/model_metrics")
     assert {r.stage for r in written.collect()} == {"validation", "test", "deployed"} and written.count() == before + 2
+    # Columns in another order, and one the saved model does not know, change nothing.
+    moved = wide.select(*reversed(wide.columns), F.lit(1).alias("unknown_feature"))
+    again = batch.train_small(moved, str(tmp_path), modelling.small_forest(trees=5, depth=6, min_leaf=20))
+    assert modelling.load_model(spark, f"{tmp_path}/deployed_model")[1] == result["features"]
+    assert {(r.stage, r.model, r.metric): pytest.approx(r.value, rel=1e-9) for r in again.collect()} == first
     document = spark.read.json(f"{tmp_path}/model_metrics", multiLine=True).first()
     assert document.rows == wide.count() and document.best_model == result["best"]
     predictions = spark.read.parquet(f"{tmp_path}/request_predictions")

@@ -259,3 +259,20 @@ def test_samples_order_only_what_lies_below_a_cutoff(spark, n):
     assert n <= df.where(F.substring(place, 1, len(cut)) <= cut).count() <= 2 * n
     few = spark.createDataFrame([(None,), (3,), (3,), (1,)], "unique_key long")
     assert profiling.first_by_hash(few, 9).count() == 4 and profiling.first_by_hash(few, 1).first().unique_key is None
+
+
+def test_tables_laid_out_by_key_join_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    left = storage.write_by_key(rows, str(tmp_path / "left"), "k", 4)
+    storage.write_by_key(rows.withColumnRenamed("v", "w"), str(tmp_path / "right"), "k", 4)
+    spark.sql(f"DROP TABLE {storage._table_name(str(tmp_path / 'right'))}")
+    right = storage.scan_by_key(spark, str(tmp_path / "right"), "k", 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = left.join(right, "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 1000 and joined.where("v = w").count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

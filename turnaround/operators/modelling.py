@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -50,10 +55,11 @@ def feature_columns(encoded: DataFrame) -> list[str]:
     return [c for c in numeric_columns(encoded) if c not in (KEY, TARGET)]
 
 
-def align(df: DataFrame, saved: list[str]) -> DataFrame:
-    """The saved feature columns in saved order, encoded names mapped back to their raw columns."""
+def align(df: DataFrame, saved: list[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The saved feature columns in saved order, encoded names mapped back to their raw columns; columns
+    of `keep` stay before them."""
     raw = {encoded: name for name, encoded in schema.ENCODED.items()}
-    return df.select(*[quoted(raw.get(c, c)) for c in saved])
+    return df.select(*map(quoted, keep), *[quoted(raw.get(c, c)) for c in saved])
 
 
 # Deep trees: more nodes per pass over the data, and rows remember their node between passes.
@@ -97,11 +103,14 @@ def default_candidates() -> dict[str, Estimator]:
     return {LINEAR: linear(), FOREST: forest(), BOOSTED: boosted()}
 
 
+def _set_checkpoint(spark: SparkSession) -> None:
+    """Boosting cuts its lineage every few rounds where a checkpoint folder is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(new_path(spark, "checkpoint"))
+
+
 def fit(estimator: Estimator, train: DataFrame, features: list[str]) -> PipelineModel:
-    context = train.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        # Boosting cuts its lineage every few rounds where a checkpoint folder is set.
-        context.setCheckpointDir(new_path(train.sparkSession, "checkpoint"))
+    _set_checkpoint(train.sparkSession)
     # The assembler reads a dot as field access; such columns are handed over under plain names.
     plain = {c: f"feature_{i}" for i, c in enumerate(features) if "." in c}
     renamed = ", ".join(f"`{c}` AS {name}" for c, name in plain.items())
@@ -127,20 +136,31 @@ def prepared_split(inputs: DataFrame, train: list[str], evaluation: list[str]) -
 
 
 def compare_candidates(inputs: DataFrame, candidates: dict[str, Estimator]) -> DataFrame:
-    """Tidy validation metrics of each candidate, all fitted on the same 60 % of the rows."""
+    """Tidy validation metrics of each candidate, all fitted on the same 60 % of the rows.
+
+    The fits run side by side over the one stored training frame, each in a scheduler pool of its own:
+    levels of a deep tree and rounds of boosting leave cores free, which the others use.
+    """
+    spark = inputs.sparkSession
     train, validation, _ = prepared_split(inputs, ["train"], ["validation"])
     features = feature_columns(train)
-    parts = [fit_and_score(n, e, train, validation, features, "validation")[1] for n, e in candidates.items()]
-    tidy = parts[0]
-    for part in parts[1:]:
-        tidy = tidy.unionByName(part)
-    return materialize(tidy, "validation-metrics")
+    _set_checkpoint(spark)
 
+    @inheritable_thread_target(spark)
+    def run(name: str) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        tidy = fit_and_score(name, candidates[name], train, validation, features, "validation")[1]
+        return materialize(tidy, "validation-metrics")
 
-def final_test(inputs: DataFrame, name: str, estimator: Estimator) -> dict:
-    """Refit on train and validation together, score the held-out rows once."""
+    with ThreadPoolExecutor(len(candidates)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(run, candidates))
+
+
+def final_test(inputs: DataFrame, name: str, estimator: Estimator, features: list[str] | None = None) -> dict:
+    """Refit on train and validation together, score the held-out rows once; on `features` where given,
+    in that order, else on every feature column."""
     train, test, encoding = prepared_split(inputs, ["train", "validation"], ["test"])
-    features = feature_columns(train)
+    features = features or feature_columns(train)
     model = fit(estimator, train, features)
     scored = model.transform(test)
     return {
@@ -183,6 +203,9 @@ def save_model(path: str, model: PipelineModel, features: list[str], encoding: D
     rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
 
 
+def saved_features(spark: SparkSession, path: str) -> list[str]:
+    return [r.feature for r in spark.read.parquet(f"{path}/features").orderBy("position").collect()]
+
+
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str], DataFrame]:
-    features = [r.feature for r in spark.read.parquet(f"{path}/features").orderBy("position").collect()]
-    return PipelineModel.load(f"{path}/model"), features, spark.read.parquet(f"{path}/encoding")
+    return PipelineModel.load(f"{path}/model"), saved_features(spark, path), spark.read.parquet(f"{path}/encoding")

@@ -33,9 +33,13 @@ def time_summary(
     so the counted values of a group always fit one task.
     """
     grouped = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    names = grouped.columns[: len(keys)]
+    return summarize_counts(grouped, grouped.columns[: len(keys)], digits)
+
+
+def summarize_counts(counted: DataFrame, keys: Sequence[str], digits: int = 1) -> DataFrame:
+    """`time_summary` of values that are counted already: rows `(*keys, _v, _n)`."""
     known = F.when(F.col("_v").isNotNull(), F.col("_n"))
-    return grouped.groupBy(*names).agg(
+    return counted.groupBy(*keys).agg(
         F.sum("_n").alias("complaints"),
         round_half_up(F.percentile("_v", 0.5, F.col("_n")), digits).alias("median_hours"),
         round_half_up(F.sum(F.col("_v") * F.col("_n")) / F.sum(known), digits).alias("avg_hours"),

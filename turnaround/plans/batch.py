@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from turnaround.operators import cleaning, evaluation, features, findings, modelling
+from turnaround.operators import analysis, cleaning, evaluation, features, findings, modelling
 from turnaround.sources import exports, storage
 
 
@@ -84,9 +86,12 @@ def train(feature_table: DataFrame, folder: str, candidates: dict[str, Estimator
 
 def train_small(feature_table: DataFrame, folder: str, estimator: Estimator | None = None) -> DataFrame:
     """The small model for serving: fit on 80 % and stored; its test scores are merged as `deployed`
-    into the metrics document that `train` wrote beside it, and the document's tidy rows returned."""
-    inputs = modelling.model_inputs(feature_table)
-    result = modelling.final_test(inputs, modelling.SMALL_FOREST, estimator or modelling.small_forest())
+    into the metrics document that `train` wrote beside it, and the document's tidy rows returned.
+
+    It reads the features of the model `train` saved, in their order, whatever the table's columns."""
+    saved = modelling.saved_features(feature_table.sparkSession, f"{folder}/model")
+    inputs = modelling.align(modelling.model_inputs(feature_table), saved, [modelling.KEY, modelling.TARGET])
+    result = modelling.final_test(inputs, modelling.SMALL_FOREST, estimator or modelling.small_forest(), saved)
     modelling.save_model(f"{folder}/deployed_model", result["model"], result["features"], result["encoding"])
     update = evaluation.tidy_metrics(
         evaluation.regression_metrics(result["scored"]), "deployed", modelling.SMALL_FOREST, ["r2", "mae_hours"]
@@ -94,6 +99,26 @@ def train_small(feature_table: DataFrame, folder: str, estimator: Estimator | No
     return evaluation.update_metrics(feature_table.sparkSession, f"{folder}/model_metrics", update)
 
 
+def build_charts(clean: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """Every chart's table under `folder`, from one scan of the clean table."""
+    tables = analysis.charts(analysis.count_questions(clean))
+    return {name: storage.publish_table(table, f"{folder}/{name}") for name, table in tables.items()}
+
+
+def error_tables(
+    predictions: DataFrame, clean: DataFrame, segments: Sequence[str], buckets: int | None = None, **options
+) -> dict[str, DataFrame]:
+    """Errors per value of each segment. Both tables are laid out by key once, in `buckets` files (default:
+    the session's shuffle partitions), and every segment joins them without a shuffle."""
+    spark, key = clean.sparkSession, modelling.KEY
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made, known = [
+        storage.write_by_key(df, storage.new_path(spark, label), key, buckets)
+        for df, label in ((predictions, "predictions-by-key"), (clean.select(key, *segments), "clean-by-key"))
+    ]
+    return {s: analysis.error_by_segment(made, known, s, **options) for s in segments}
+
+
 def publish_findings(short_requests: DataFrame, path: str, **window) -> DataFrame:
     """The findings document of an export's seven columns, written as JSON."""
     base = findings.findings_base(short_requests, **window)

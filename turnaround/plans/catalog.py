@@ -6,6 +6,7 @@ Each query takes `(spark, sf_dir)`. `oracle.py` holds the same questions as SQL
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -487,6 +488,15 @@ def error_by_agency(spark, sf_dir):
     return analysis.error_by_segment(predictions(spark, sf_dir), rows, "agency", MIN_SEGMENT_ROWS)
 
 
+@query
+def errors_by_layout(spark, sf_dir):
+    """Errors by borough and by agency from tables laid out by key."""
+    rows = clean(spark, sf_dir).select("unique_key", "borough", "agency")
+    tables = batch.error_tables(predictions(spark, sf_dir), rows, ["borough", "agency"], min_rows=MIN_SEGMENT_ROWS)
+    parts = [t.withColumn("by", F.lit(name)) for name, t in tables.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def dow_label(spark, sf_dir):
     day = dates.sunday_day(F.col("created_date"))
@@ -614,6 +624,19 @@ def dash_daily_top(spark, sf_dir):
     return analysis.daily_volume_top(clean(spark, sf_dir, place=False), ["NYPD", "HPD", "DSNY"])
 
 
+@query
+def charts_of_one_scan(spark, sf_dir):
+    """All charts from one scan: groups, and the count and median of each where the chart has them."""
+    parts = []
+    for name, table in analysis.charts(analysis.count_questions(clean(spark, sf_dir))).items():
+        measures = {"complaints": "bigint", "median_hours": "double"}
+        shown = [F.col(c).cast(t) if c in table.columns else F.lit(None).cast(t) for c, t in measures.items()]
+        groups = [c for c in table.columns if c not in measures and not c.endswith("_hours") and c != "pct"]
+        group = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in groups])
+        parts.append(table.select(F.lit(name).alias("chart"), group.alias("segment"), *[c.alias(n) for c, n in zip(shown, measures)]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- Findings ---------------------------------------------------------------------------------
 
 
@@ -1109,3 +1132,17 @@ def score_stream(spark, sf_dir):
     )
     running.awaitTermination()
     return storage.scan_table(spark, output).select("request_id", "predicted_hours", "confidence_band", "errors")
+
+
+@query
+def score_stream_tables(spark, sf_dir):
+    """A stream's answers and refusals, each from its own table."""
+    arrived = storage.materialize(fixture.requests_to_score(spark, sf_dir), "arrived")
+    folder = arrived.inputFiles()[0].rsplit("/", 1)[0]
+    answers, refusals, state = (storage.new_path(spark, label) for label in ("answers", "refusals", "stream"))
+    requests = stream.read_requests(spark, folder, arrived.schema)
+    stream.start_publishing(requests, *deployed(spark, sf_dir), answers, refusals, state).awaitTermination()
+    answered = storage.scan_table(spark, answers).select(
+        "request_id", "predicted_hours", "confidence_band", F.lit("").alias("errors")
+    )
+    return answered.unionByName(storage.scan_table(spark, refusals).select("request_id", "errors"), allowMissingColumns=True)

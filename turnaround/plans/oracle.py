@@ -267,6 +267,13 @@ def _segment(key: str, name: str, *columns: str, where: str = "") -> str:
     return with_(f"SELECT {key} AS {name}, {picked} FROM clean {where} GROUP BY {key}")
 
 
+def _chart(name: str, statement: str, *groups: str, measured: tuple[str, ...] = ("complaints", "median_hours")) -> str:
+    group = " || '|' || ".join(f"coalesce(CAST({g} AS VARCHAR), 'null')" for g in groups)
+    found = {"complaints": "CAST(NULL AS BIGINT)", "median_hours": "CAST(NULL AS DOUBLE)"} | {m: m for m in measured}
+    picked = ", ".join(f"CAST({v} AS {t}) AS {c}" for (c, v), t in zip(found.items(), ("BIGINT", "DOUBLE")))
+    return f"SELECT '{name}' AS chart, {group} AS segment, {picked} FROM ({statement})"
+
+
 def _ranked(direction: str, top: int, extra: str = "", having: str = "HAVING count(*) > 100", where: str = "") -> str:
     return with_(
         f"SELECT problem_type, count(*) AS complaints, {_MED} AS median_hours{extra} FROM clean {where} GROUP BY problem_type "
@@ -538,7 +545,7 @@ def _beats(model: str, base: str = "valid_base") -> str:
 
 def statements() -> dict[str, str]:
     """SQL per registered query; queries without an SQL form are absent."""
-    return {
+    found = {
         "read_requests_csv": with_(_conform, _export, _present),
         "read_findings_csv": with_(
             f"""SELECT {_parsed('created_date')} AS created, {_parsed('closed_date')} AS closed, {std('agency')} AS agency,
@@ -859,4 +866,25 @@ def statements() -> dict[str, str]:
             f"""SELECT request_id, {r('h')} AS predicted_hours, {band('h', _MAE)} AS confidence_band, '' AS errors FROM answered
             UNION ALL SELECT request_id, NULL, NULL, errors FROM checked WHERE errors <> ''""", *_DEPLOYED
         ),
+        "score_stream_tables": with_(
+            f"""SELECT request_id, {r('h')} AS predicted_hours, {band('h', _MAE)} AS confidence_band, '' AS errors FROM answered
+            UNION ALL SELECT request_id, NULL, NULL, errors FROM checked WHERE errors <> ''""", *_DEPLOYED
+        ),
     }
+    found["errors_by_layout"] = " UNION ALL ".join(
+        f"SELECT *, '{by}' AS by FROM ({found[f'error_by_{by}']})" for by in ("borough", "agency")
+    )
+    measured = ("complaints", "median_hours")
+    found["charts_of_one_scan"] = " UNION ALL ".join(
+        _chart(name, found[key], *groups, measured=columns)
+        for name, key, groups, columns in [
+            ("distribution", "eda_distribution", ["bucket"], measured[:1]), ("agency", "eda_agency", ["agency"], measured),
+            ("borough", "eda_borough", ["borough"], measured), ("channel", "eda_channel", ["channel"], measured),
+            ("weekend", "eda_weekend", ["day_type"], measured), ("night", "eda_night", ["time_of_day"], measured),
+            ("hour", "eda_hour", ["hour"], measured), ("hour_day", "dash_hour_day", ["hour", "dow"], measured[1:]),
+            ("borough_agency", "dash_borough_agency", ["borough", "agency"], measured),
+            ("slowest", "dash_slowest", ["problem_type"], measured), ("fastest", "dash_fastest", ["problem_type"], measured),
+            ("agency_types", "eda_agency_types", ["problem_type"], measured), ("daily", "dash_daily", ["date", "agency"], measured[:1]),
+        ]
+    )
+    return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Callable
@@ -79,6 +80,28 @@ def publish_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(publish(df.sparkSession, path, df.write.parquet))
 
 
+def write_by_key(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Stores a table in `buckets` files by hash of `key`; tables stored alike join on it without a
+    shuffle. Replaces what `path` holds, so give each version a path of its own."""
+    laid = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    laid.option("path", path).saveAsTable(_table_name(path))
+    return df.sparkSession.table(_table_name(path))
+
+
+def scan_by_key(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table that `write_by_key` stored, for a session that did not write it: the layout is stated again."""
+    columns = spark.read.parquet(path).schema.toDDL()
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {_table_name(path)} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(_table_name(path))
+
+
+def _table_name(path: str) -> str:
+    return f"stored_{hashlib.md5(path.encode()).hexdigest()}"
+
+
 def current(spark: SparkSession, path: str) -> str:
     """The folder to read for `path`: itself, or what a swap that was cut short has moved aside."""
     if _files(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
