@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from turnaround.sources.storage import materialize
 
-#: Rows handed to Python at once. Texts are read whole, so a batch is bounded by its longest texts.
+#: Rows handed to Python at once. Texts are read whole.
 BATCH_ROWS = 1000
+#: A batch ends early once its rows hold so many bytes, so long texts do not pile up in a worker.
+BATCH_BYTES = 16 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -27,6 +29,7 @@ def map_batches(
     """`mapInArrow` with bounded batches; Python workers import the library from where the driver has it.
     Columns with a dot in their names reach `fn` under other names, in their places."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
     # The call resolves columns by name and reads a dot as field access.
     free = free_prefix(df.columns)
