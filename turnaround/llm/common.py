@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,8 @@ from turnaround.sources.storage import materialize
 BATCH_ROWS = 1000
 #: A batch ends early once its rows hold so many bytes, so long texts do not pile up in a worker.
 BATCH_BYTES = 16 << 20
+_keepers: dict[str, Callable[[], None]] = {}
+_last: list[str] = []
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -28,12 +32,45 @@ def map_batches(
 ) -> DataFrame:
     """`mapInArrow` with bounded batches; Python workers import the library from where the driver has it.
     Columns with a dot in their names reach `fn` under other names, in their places."""
+    owner = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
     # The call resolves columns by name and reads a dot as field access.
     free = free_prefix(df.columns)
-    return df.toDF(*[f"{free}{i}" if "." in c else c for i, c in enumerate(df.columns)]).mapInArrow(fn, schema)
+    return df.toDF(*[f"{free}{i}" if "." in c else c for i, c in enumerate(df.columns)]).mapInArrow(run, schema)
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """States that a module keeps something in its workers from task to task, and how to drop it."""
+    _keepers[owner] = forget
+
+
+def make_room(owner: str) -> None:
+    """A worker keeps what one module loads: when another's turn comes, the others' is dropped. Workers
+    outlive a stage, so else the caches of all stages would add up in each."""
+    if _last != [owner]:
+        for other, forget in _keepers.items():
+            if other != owner:
+                forget()
+        _last[:] = [owner]
+        gc.collect()
+
+
+def give_back() -> None:
+    """Hands memory that a task no longer uses back to the system: an idle worker keeps its caches only."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def free_prefix(columns: list[str]) -> str:

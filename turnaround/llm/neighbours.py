@@ -24,6 +24,7 @@ MISS = 0.03
 QUERY_BLOCK = 4096
 _SUB, _HELD = 256, 1 << 20
 _loaded: dict = {}
+common.keeps(__name__, _loaded.clear)
 
 
 def valid(vector: str = "embedding") -> Column:

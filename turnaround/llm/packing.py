@@ -31,7 +31,7 @@ SALTS = 1024
 DEPTH = 3
 #: Entries of a worker's cache. A full cache becomes the old one, from which what is met again moves on;
 #: the one that was old is forgotten.
-CACHE_PARTS = 5 << 17
+CACHE_PARTS = 5 << 16
 #: Texts are split into words so many bytes at a time; a longer text is split alone.
 SLICE_BYTES = 4 << 20
 _GROUP = 128
@@ -161,6 +161,9 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+common.keeps(__name__, _encoder.cache_clear)
+
+
 def cut(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Tokenises documents and cuts each at every `window` ids: one row per piece.
 

@@ -42,6 +42,7 @@ _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|=+-_/\\"
 _loaded: dict = {}
+common.keeps(__name__, _loaded.clear)
 
 Span = tuple[str, int, int]
 

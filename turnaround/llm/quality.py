@@ -37,6 +37,7 @@ SHORT_TEXT = 2.0
 #: Log perplexities are compared in steps, so a language has few distinct values and exact quantiles.
 STEP = 1000.0
 _loaded: dict = {}
+common.keeps(__name__, _loaded.clear)
 
 
 def _classes() -> np.ndarray:

@@ -25,6 +25,7 @@ TOKEN_LIMIT = 4096
 _SPACE = "▁"
 _UNIT = re.compile(" *[^ ]+| +")
 _loaded: dict = {}
+common.keeps(__name__, _loaded.clear)
 
 
 def pre_tokens(text: str) -> list[str]:
