@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnaround.sources.storage import materialize
+from turnaround.sources.storage import drop, materialize
 
 #: Rows handed to Python at once. Texts are read whole.
 BATCH_ROWS = 1000
@@ -109,7 +109,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             .unionByName(floor.selectExpr("m u", "n v"))
             .where("u <> v").distinct()
         )
-        current = materialize(small, label)
+        past, current = current, materialize(small, label)
+        drop(past)
         before, state = state, _state(current)
         if state == before:
             break

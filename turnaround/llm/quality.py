@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from turnaround.llm import characters, common
 from turnaround.operators.joins import quoted
-from turnaround.sources.storage import materialize
+from turnaround.sources.storage import drop, materialize
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -399,6 +399,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None, prefix: str = "") -> D
     scores = materialize(scores, "perplexities")
     deep = bands(scores.selectExpr("lang", "deep_log_perplexity log_perplexity")).selectExpr("lang", "upper most")
     limits = materialize(bands(scores).join(deep, "lang"), "perplexity-bands")
+    drop(scores)
     source = docs.select(
         *map(quoted, carried), F.coalesce("text", F.lit("")).alias(text_name), lang.alias(lang_name)
     )
@@ -426,4 +427,5 @@ def judge(docs: DataFrame, keep: list[str] | None = None, prefix: str = "") -> D
 
         part = common.map_batches(source.where(F.col(lang_name).isin(langs)), run, ", ".join(schema))
         out = part if out is None else out.unionByName(part)
+    drop(models_, limits)
     return out
