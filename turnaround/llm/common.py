@@ -100,15 +100,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         # Large star: neighbours above a node are linked to the least of the node's neighbourhood.
         both = current.unionByName(current.selectExpr("v u", "u v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
-        large = both.where("v > u").join(least, "u").selectExpr("m u", "v").where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").selectExpr("m u", "v").where("u <> v")
         # Small star: neighbours below a node, and the node, are linked to the least of them.
         down = large.selectExpr("v n", "u below")
         floor = down.groupBy("n").agg(F.min("below").alias("m"))
-        small = (
-            down.join(floor, "n").selectExpr("m u", "below v")
-            .unionByName(floor.selectExpr("m u", "n v"))
-            .where("u <> v").distinct()
-        )
+        small = down.join(floor, "n").selectExpr("m u", "explode(array(below, n)) v").where("u <> v").distinct()
         past, current = current, materialize(small, label)
         drop(past)
         before, state = state, _state(current)
