@@ -136,6 +136,22 @@ def test_feature_names_may_hold_dots(spark, planted):
     assert importance.where("feature = 'agency_U.S. Mail' and importance > 0").count() == 1
 
 
+def test_candidates_share_one_encoded_split(spark, sf_dir, monkeypatch):
+    made, prepare = [], modelling.prepared_split
+
+    def counted(*args):
+        made.append(args)
+        return prepare(*args)
+
+    monkeypatch.setattr(modelling, "prepared_split", counted)
+    monkeypatch.setattr(catalog, "_made", {})
+    monkeypatch.setattr(catalog, "candidates", lambda: {n: modelling.linear() for n in (modelling.LINEAR, "again")})
+    tidy, ranked = catalog._comparison(spark, sf_dir)
+    assert len(made) == 1 and ranked.count() == 2
+    first, second = ({r.metric: r.value for r in tidy.where(F.col("model") == n).collect()} for n in (modelling.LINEAR, "again"))
+    assert first == second
+
+
 def test_segment_must_exist(spark, sf_dir):
     clean = catalog.clean(spark, sf_dir)
     with pytest.raises(ValueError):
