@@ -90,13 +90,12 @@ def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of an undirected graph: `(node, component)`, component the least node.
 
-    `edges` holds longs `u`, `v`. Large-star and small-star steps alternate until nothing changes; a
+    `edges` holds longs `u`, `v`. Large-star and small-star steps alternate until only stars are left; a
     node's neighbours are only ever reduced to their minimum (a pre-aggregated shuffle) and joined
     back, so a hub's neighbours never gather in one task. Every round is a stored table.
     """
     current = materialize(edges.where("u <> v").selectExpr("least(u, v) u", "greatest(u, v) v").distinct(), label)
-    state = _state(current)
-    while state[0]:
+    while not _stars(current):
         # Large star: neighbours above a node are linked to the least of the node's neighbourhood.
         both = current.unionByName(current.selectExpr("v u", "u v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
@@ -107,14 +106,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = down.join(floor, "n").selectExpr("m u", "explode(array(below, n)) v").where("u <> v").distinct()
         past, current = current, materialize(small, label)
         drop(past)
-        before, state = state, _state(current)
-        if state == before:
-            break
     return current.selectExpr("v node", "u component").unionByName(
         current.selectExpr("u node", "u component").distinct()
     )
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.expr("xxhash64(u, v) % 1000000007"))).first()
-    return row[0], row[1]
+def _stars(edges: DataFrame) -> bool:
+    """Whether distinct edges `u < v` are stars around their least nodes, which further steps leave as they are:
+    a node below another is its only neighbour, and has none below itself."""
+    ends = edges.selectExpr("explode(array(struct(v AS node, 1L AS below), struct(u AS node, 0L AS below))) AS e").select("e.*")
+    met = ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+    return met.agg(F.count_if((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("least") == 0)))).first()[0] == 0
