@@ -64,10 +64,10 @@ def test_more_rounds_explain_more(spark, rows):
 
 
 def test_histograms_of_shared_columns_are_those_of_features():
-    rng, bins = np.random.default_rng(2), [24, 2, 7, 1, 2, 200, 2, 2]
-    codes = np.stack([rng.integers(0, b, 500).astype(np.uint8) for b in bins])
+    rng, bins = np.random.default_rng(2), [24, 2, 7, 1, 2, 200, 300, 2, 2]
+    codes = np.stack([rng.integers(0, b, 500).astype(np.uint16) for b in bins])
     layout, place, values = forest.Layout(bins), rng.integers(0, 3, 500), rng.integers(-9, 9, 500)
-    assert len(layout.sizes) < len(bins)
+    assert len(layout.sizes) < len(bins) and (layout.unpack(layout.pack(codes).tobytes(), 500) == codes).all()
     count, total = layout.sums(place, 3, layout.pack(codes), np.arange(500), (None, values))
     for f, b in enumerate(bins):
         for k, found in ((np.ones(500), count), (values, total)):
